@@ -21,7 +21,7 @@ place, fitted on a bounded sample of at most SAMPLE_PAGES pages that the tree
 labelled.
 
 Plan: one Arrow pass parses each page and writes, once, its lines' node and key
-hashes beside the text; the tree is JVM aggregation over hashes (partial
+hashes beside the text; all later steps read that table. The tree is JVM aggregation over hashes (partial
 aggregates in each task, so a site with a third of the pages is no hot key); a
 site's verdicts are two maps that hold only nodes and lines on at least
 MIN_SHARE of its pages, so at most 1 / MIN_SHARE times the average page; they
@@ -271,15 +271,15 @@ def _map(key: str, value: Column) -> Column:
     return F.map_from_entries(F.collect_list(F.struct(F.col(key), value.alias("value"))))
 
 
-def with_verdicts(parse: DataFrame, least: float = LEAST) -> DataFrame:
-    """parse with noise, an array with a boolean for each line: null where neither tree nor text decide (and for blank lines)."""
+def with_verdicts(parse: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """parse with noise, an array with a boolean for each line (null for blank lines): pages decided by the tree alone, and pages with lines unknown to it, null where the text's other places don't decide either."""
     tree = style_tree(parse).filter((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= F.col("m") * MIN_SHARE))
-    nodes = tree.groupBy("site").agg(_map("node", F.col("importance") < least).alias("nodes"), F.max("m").alias("m"))
+    nodes = materialize(tree.groupBy("site").agg(_map("node", F.col("importance") < least).alias("nodes"), F.max("m").alias("m")))
     judged = parse.join(nodes, "site", "left").withColumn("noise", F.transform("node", lambda n: F.when(n > 0, F.try_element_at("nodes", n))))
-    judged = materialize(judged.drop("nodes", "forms"))
+    judged = judged.drop("nodes", "forms")
     lines = judged.select("site", "m", F.explode(F.arrays_zip("key", "noise")).alias("x")).select("site", "m", "x.*").filter("noise is not null")
     keys = lines.groupBy("site", "key").agg(F.avg(F.col("noise").cast("double")).alias("share"), F.count("*").alias("k"), F.max("m").alias("m"))
-    votes = keys.filter((F.col("k") >= MIN_PAGES) & (F.col("k") >= F.col("m") * MIN_SHARE)).groupBy("site").agg(_map("key", F.col("share") > 0.5).alias("votes"))
+    votes = materialize(keys.filter((F.col("k") >= MIN_PAGES) & (F.col("k") >= F.col("m") * MIN_SHARE)).groupBy("site").agg(_map("key", F.col("share") > 0.5).alias("votes")))
     unsure = F.exists(F.arrays_zip("node", "noise"), lambda x: (x["node"] != 0) & x["noise"].isNull())
     sure = judged.filter(~unsure).drop("m")
     rest = judged.filter(unsure).drop("m").join(votes, "site", "left")
@@ -355,7 +355,7 @@ def main_bodies(pages: DataFrame, least: float = LEAST) -> DataFrame:
     w = fit(rows, np.asarray(labels, float))
     columns = ["page_id", "site", "title", "status_code", "text", "node", "noise"]
     kinds = "page_id long, site long, title string, status_code int, text string, node array<long>, noise array<boolean>"
-    out = sure.select(columns).unionByName(rest.select(columns).mapInArrow(_resolve(w), kinds))
+    out = sure.select(columns).unionByName(materialize(rest.select(columns).mapInArrow(_resolve(w), kinds)))
     return out.drop("node")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, pairs, repeated_lines, splitting
+from . import contamination, encoding, main_body, pairs, repeated_lines, residue, splitting, text_types
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_pages(main_body.main_bodies(_table(spark, sf_dir, "pages")))
+
+
+def p1_kept_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    found = residue.residue_pages(main_body.main_bodies(pages))
+    return pages.join(found, pages.id == found.page_id, "left_anti").select(F.col("id").alias("page_id"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.repeated_lines(_table(spark, sf_dir, "pages"))
 
@@ -39,6 +49,26 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    bodies = main_body.main_bodies(pages)
+    return text_types.findings(pages, text_types.page_types(text_types.measured(bodies)), residue.residue_pages(bodies))
+
+
+def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_types.page_types(text_types.measured(main_body.main_bodies(_table(spark, sf_dir, "pages"))))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = main_body.main_bodies(_table(spark, sf_dir, "pages"))
+    return main_body.noise_lines(bodies).join(residue.residue_pages(bodies), "page_id", "left_anti")
+
+
+def p6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = main_body.main_bodies(_table(spark, sf_dir, "pages"))
+    return main_body.body_text(bodies).join(residue.residue_pages(bodies), "page_id", "left_anti")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.main_defects(pairs.defects(_table(spark, sf_dir, "faqs")))
 
@@ -55,6 +85,14 @@ def p8_longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled(_table(spark, sf_dir, "documents"))
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.restore(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
