@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, encoding, main_body, pairs, repeated_lines, residue, splitting, text_types
+from . import contamination, encoding, main_body, mixing, pairs, repeated_lines, residue, scans, splitting, text_types
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,14 @@ def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_types.page_types(text_types.measured(main_body.main_bodies(_table(spark, sf_dir, "pages"))))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_noise(_table(spark, sf_dir, "site_documents"))
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(_table(spark, sf_dir, "site_documents"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = main_body.main_bodies(_table(spark, sf_dir, "pages"))
     return main_body.noise_lines(bodies).join(residue.residue_pages(bodies), "page_id", "left_anti")
@@ -85,6 +93,21 @@ def p8_longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = mixing.token_sizes(_table(spark, sf_dir, "documents"))
+    return mixing.mix(sizes, mixing.plan(sizes, _table(spark, sf_dir, "mix_targets")))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = mixing.token_sizes(_table(spark, sf_dir, "documents"))
+    planned = mixing.plan(sizes, _table(spark, sf_dir, "mix_targets"))
+    return mixing.shares(mixing.mix(sizes, planned), planned)
+
+
+def p9_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.temperature_report(mixing.token_sizes(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled(_table(spark, sf_dir, "documents"))
 

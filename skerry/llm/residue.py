@@ -36,6 +36,8 @@ from .common import BYTE_VALUES, mixed, raw, word_hashes
 from .main_body import bare
 
 SAMPLE_PAGES, WEIGHTS = 1500, 1 << 16
+#: Good segments for each bad one in the fit.
+GOOD = 8
 #: Characters of context on both sides of a placeholder.
 WINDOW = 45
 SIGN_BYTES = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
@@ -50,6 +52,8 @@ PLACEHOLDER = re.compile(
 #: Words with which a text explains syntax to its readers.
 EXPLAINS = re.compile(r"\b(?:write|type|enter|stands? for|tokens?|syntax|placeholders?|replaced?|variables?|means|puts? in|your own|example|called|curly|brackets?|escape[ds]?|substitut\w+|expands?)\b|\bschreib\w+|\bersetz\w+|\bécri\w+|\bremplac\w+|\bescrib\w+|\breemplaz\w+|\bलिखें", re.I)
 
+#: Words in longer sentences that leave open whether the page speaks of errors or is one.
+SPEAKS = re.compile(r"script|error|not found|placeholder|coming soon|maintenance|denied|lorem|ipsum|timed out|unavailable", re.I)
 FILLER = re.compile(r"\b(?:lorem|ipsum)\b.*\b(?:sit|sed|nec|amet|lorem|ipsum|vel|dolor)\b", re.I)
 PHRASES = re.compile(
     "|".join(
@@ -69,21 +73,25 @@ PHRASES = re.compile(
 )
 
 
+_SYNTAX = re.compile(r"[\[{}%<@]|__|\?(?:php|=)")
+
+
 def placeholders(text: str) -> list[tuple[int, int]]:
     """Where an unfilled placeholder's syntax stands in text."""
-    return [m.span() for m in PLACEHOLDER.finditer(text)] if re.search(r"[{}%\[<@?]|__", text) else []
+    return [m.span() for m in PLACEHOLDER.finditer(text)] if _SYNTAX.search(text) else []
 
 
 def segments(text: str, noise: list[bool | None], title: str | None) -> list[tuple[int, int, str]]:
     """(kind, weight, text) of a page: kind 0 is a line of the body, 1 the window around a placeholder, 2 the title's line."""
     head, out = bare(title or ""), []
+    size, syntax = len(title or ""), bool(_SYNTAX.search(text))
     for line, gone in zip(text.split("\n"), noise):
         if gone or not line.strip():
             continue
-        spots = placeholders(line)
+        spots = placeholders(line) if syntax else ()
         for s, e in spots:
             out.append((1, 0, f"{line[max(0, s - WINDOW) : s]} {line[s:e]} {line[e : e + WINDOW]}"))
-        kind = 2 if head and bare(line) == head else 0
+        kind = 2 if head and abs(len(line) - size) < 9 and bare(line) == head else 0
         for part in SENTENCE.split(line) if len(line) > 120 else (line,):
             if part.strip():
                 out.append((kind, len(part.strip()), part))
@@ -96,8 +104,13 @@ def weak_label(kind: int, text: str, status: int | None, body: int) -> float:
         return 0.0 if EXPLAINS.search(text) else 1.0
     if kind == 2:
         return np.nan
-    if PHRASES.search(text):
-        return 1.0 if body < 900 and (len(text) < 90 or FILLER.search(text)) else np.nan
+    if body >= 900 or len(text) >= 90:
+        if body < 900 and FILLER.search(text):
+            return 1.0
+        if SPEAKS.search(text):
+            return np.nan
+    elif PHRASES.search(text):
+        return 1.0
     if status is not None and 400 <= status < 600 and body < 160:
         return 1.0
     return 0.0 if (status is None or status == 200) and len(text) >= 30 else np.nan
@@ -106,9 +119,12 @@ def weak_label(kind: int, text: str, status: int | None, body: int) -> float:
 def features(texts: list[str], titles: list[str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(segment, index) pairs: hashed words, pairs of words, runs of signs, title words, length and kind."""
     rows, idx = [], []
+    apart = np.where(kinds == 1, np.uint64(0x51), np.uint64(0))
     for salt, source in ((0, texts), (1, titles)):
         data, bounds = raw(pc.utf8_lower(pa.array(source, pa.large_string())))
         h, of = word_hashes(np.where((data >= 49) & (data <= 57), 48, data).astype(np.uint8), bounds)
+        # windows have weights of their own, as their words are ordinary ones
+        h = h + apart[of]
         rows.append(of), idx.append(mixed(h + np.uint64(salt)) % np.uint64(WEIGHTS))
         if not salt:
             near = np.flatnonzero(of[1:] == of[:-1])
@@ -119,11 +135,10 @@ def features(texts: list[str], titles: list[str], kinds: np.ndarray) -> tuple[np
             n = np.arange(len(source))
             rows.append(n), idx.append(mixed(size + np.uint64(100) + np.uint64(50) * (kinds == 1)) % np.uint64(WEIGHTS))
     row, at = np.concatenate(rows), np.concatenate(idx).astype(np.int64)
-    pairs = np.unique(row.astype(np.int64) * WEIGHTS + at)
-    return pairs // WEIGHTS, pairs % WEIGHTS
+    return row.astype(np.int64), at
 
 
-def fit(row: np.ndarray, at: np.ndarray, labels: np.ndarray, l2: float = 3e-5, rounds: int = 80) -> np.ndarray:
+def fit(row: np.ndarray, at: np.ndarray, labels: np.ndarray, l2: float = 3e-5, rounds: int = 50) -> np.ndarray:
     """Weights of a logistic regression with L2 penalty and balanced classes; the last is the bias. Without both classes all weights are 0."""
     w, g2, n = np.zeros(WEIGHTS + 1), np.full(WEIGHTS + 1, 1e-6), len(labels)
     if not n or not 0 < labels.mean() < 1:
@@ -147,9 +162,14 @@ def scores(w: np.ndarray, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray
 
 def _sample(bodies: DataFrame) -> list[tuple[int, str, list, str | None, int | None]]:
     rows = bodies.select("page_id", "site", "title", "text", "noise", "status_code").filter("text is not null")
-    order = F.xxhash64("page_id", F.lit(7))
+    # a range of the hash holds the sample, so that tasks needn't send SAMPLE_PAGES texts each
+    def some(df: DataFrame) -> DataFrame:
+        ids = df.count()
+        part = F.pmod(F.xxhash64("page_id", F.lit(7)), F.lit(1 << 30))
+        return df.filter(part < min(1.0, 1.3 * SAMPLE_PAGES / max(1, ids)) * (1 << 30)).orderBy(part, "page_id").limit(SAMPLE_PAGES)
+
     odd = rows.filter((F.col("status_code") >= 400) | (F.length("text") < 1000) & F.col("text").rlike(r"(?i)lorem|script|not found|error|placeholder|sample|\{\{|%%|\$\{|\[\[|unavailable|tbd|request id|oops|sorry"))
-    both = rows.orderBy(order, "page_id").limit(SAMPLE_PAGES).unionByName(odd.orderBy(order, "page_id").limit(SAMPLE_PAGES))
+    both = some(rows).unionByName(some(odd))
     return [(r["site"], r["text"], r["noise"], r["title"], r["status_code"]) for r in both.toLocalIterator()]
 
 
@@ -162,8 +182,15 @@ def _taught(sample: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
             y = weak_label(kind, part, status, body)
             if y == y:
                 texts.append(part), titles.append(title or ""), kinds.append(kind), labels.append(y), sites.append(site)
-    row, at = features(texts, titles, np.array(kinds)) if texts else (np.empty(0, np.int64),) * 2
-    return row, at, np.array(labels), np.array(sites)
+    y = np.array(labels)
+    # good segments are many; those of the lowest hash suffice, GOOD to a bad one
+    order = mixed(np.arange(len(y), dtype=np.uint64) + np.uint64(5))
+    order[y > 0] = 0
+    order[np.array(kinds) == 1] = 0
+    keep = np.sort(np.argsort(order, kind="stable")[: int(y.sum() * (1 + GOOD)) + kinds.count(1) + 500])
+    texts, titles = [texts[i] for i in keep], [titles[i] for i in keep]
+    row, at = features(texts, titles, np.array(kinds)[keep]) if texts else (np.empty(0, np.int64),) * 2
+    return row, at, y[keep], np.array(sites)[keep]
 
 
 def train(bodies: DataFrame) -> np.ndarray:

@@ -64,38 +64,45 @@ SYMBOLS = re.compile(r"[^\w\sऀ-ॿ]|_")
 RUN = re.compile(r"([^\w\s.])\1{4,}")
 
 
+_PLAIN = bytes(b for b in range(256) if b >= 128 or chr(b).isalnum() or chr(b).isspace())
+
+
+def _symbols(text: str) -> int:
+    """How many characters are neither letters, digits, marks nor spaces."""
+    return len(text.encode().translate(None, _PLAIN)) if text.isascii() else len(SYMBOLS.findall(text))
+
+
 def mask(line: str) -> int:
     """The functions that fire on a line, as bits."""
     text = line.strip()
-    words = text.split()
+    words = text.lower().split()
     n, size = len(words), len(text)
     last = text[-1] if text[-1] not in "\"'”’»)]" or size < 2 else text[-2]
     end, m = last in ".!?।…:", 0
-    symbols = len(SYMBOLS.findall(text))
-    share = symbols / size
-    lower = [w.strip(".,;:!?()\"'“”’।").lower() for w in words]
-    common = sum(w in COMMON for w in lower) / n
-    bullet = bool(BULLET.match(text))
-    number = not bullet and bool(ENUMERATOR.match(text))
+    share = _symbols(text) / size
+    common = sum(map(COMMON.__contains__, words)) / n
+    letters = size - n + 1
+    odd_start = not text[0].isalpha() or text[1:2] in ".)" or text[1:3] in ("i.", "i)", "v.", "v)")
+    bullet = odd_start and bool(BULLET.match(text))
+    number = odd_start and not bullet and bool(ENUMERATOR.match(text))
     m |= bullet << 0 | number << 1
-    cells = text.split("\t") if "\t" in text else text.split(" | ") if " | " in text else text.split("|") if text.count("|") >= 2 else re.split(r" {3,}", text) if "   " in text else ()
-    if len(cells) > 1 and share < 0.3 and sum(len(c) for c in cells) / len(cells) < 40 and all(re.search(r"\w", c) for c in cells if c.strip()):
-        m |= 1 << 2
-    commas = re.split(r"[,;]", text) if re.search(r"[,;]\S", text) else ()
-    if len(commas) >= 3 and not re.search(r"[,;] ", text) and share < 0.3 and sum(len(c) for c in commas) / len(commas) < 30:
-        m |= 1 << 3
-    if not bullet and not number and VALUE.match(text) and n <= 12:
-        m |= 1 << 4
-    if share > 0.3 or RUN.search(text) or size > 8 and not re.search(r"[^\W\d_]{2}", text) and not m & 0b1100:
+    if common < 0.2 or n < 8:
+        cells = text.split("\t") if "\t" in text else text.split(" | ") if " | " in text else text.split("|") if text.count("|") >= 2 else re.split(r" {3,}", text) if "   " in text else ()
+        if len(cells) > 1 and share < 0.3 and sum(len(c) for c in cells) / len(cells) < 40 and all(re.search(r"\w", c) for c in cells if c.strip()):
+            m |= 1 << 2
+        if ("," in text or ";" in text) and (commas := re.split(r"[,;]", text))[2:] and not re.search(r"[,;] ", text) and share < 0.3 and sum(len(c) for c in commas) / len(commas) < 30:
+            m |= 1 << 3
+        if not bullet and not number and n <= 12 and (":" in text or "=" in text) and VALUE.match(text):
+            m |= 1 << 4
+    if share > 0.3 or share > 0.05 and RUN.search(text) or 8 < size < 200 and common == 0 and not m & 0b1100 and not re.search(r"[^\W\d_]{2}", text):
         m |= 1 << 5
-    if CODE.search(text) and common < 0.25:
+    if common < 0.25 and CODE.search(text):
         m |= 1 << 6
-    letters = sum(map(len, lower))
-    if letters / n > 16 or max(map(len, lower)) > 34 and common < 0.2:
+    if letters / n > 16 or common < 0.2 and max(map(len, words)) > 34:
         m |= 1 << 7
-    if not m & 0b11100 and _odd(lower):
+    if common < 0.12 and not m & 0b11100 and _odd(words):
         m |= 1 << 8
-    if n >= 8 and len(set(lower)) < 0.66 * n and common < 0.25:
+    if n >= 8 and common < 0.25 and len({w.strip(",.;") for w in words}) < 0.66 * n:
         m |= 1 << 9
     if end and n >= 5 and common > 0.08 and share < 0.15:
         m |= 1 << 10
@@ -110,7 +117,7 @@ def mask(line: str) -> int:
 
 def _odd(words: list[str]) -> bool:
     """Most long words have no vowels, many consonants in a row, or letters and digits mixed."""
-    long = [w for w in words if len(w) >= 4]
+    long = [x for w in words if len(x := w.strip(".,;:!?()\"'")) >= 4]
     odd = sum(bool(re.search(r"[bcdfghjklmnpqrstvwxz]{5}|[a-z]\d+[a-z]|\d[a-z]+\d[a-z]*\d|[a-z0-9+/=]{25}", w)) or w.isascii() and w.isalpha() and not re.search(r"[aeiouy]", w) for w in long)
     return len(long) > 0 and odd > 0.5 * len(long)
 
@@ -118,13 +125,13 @@ def _odd(words: list[str]) -> bool:
 def statistics(text: str) -> dict[str, float]:
     words = text.split()
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    n, size = len(words), sum(map(len, words))
+    n, size = len(words), len("".join(words))
     return {
         "words": n,
         "mean_word_length": size / n if n else 0.0,
-        "symbol_ratio": len(SYMBOLS.findall(text)) / size if size else 0.0,
+        "symbol_ratio": _symbols(text) / size if size else 0.0,
         "line_end_share": sum(x[-1] in ".!?।…\"”:" for x in lines) / len(lines) if lines else 0.0,
-        "common_word_share": sum(w.strip(".,;:!?()\"'“”’।").lower() in COMMON for w in words) / n if n else 0.0,
+        "common_word_share": sum(map(COMMON.__contains__, text.lower().split())) / n if n else 0.0,
     }
 
 
