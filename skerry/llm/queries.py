@@ -149,4 +149,10 @@ def oracle_sql() -> dict[str, str]:
         , kept AS (SELECT page_id, string_agg(line, chr(10) ORDER BY line_no) AS clean_text FROM lines ANTI JOIN found USING (page_id, line_no) GROUP BY page_id)
         SELECT id AS page_id, CASE WHEN content_text IS NOT NULL THEN coalesce(clean_text, '') END AS clean_text FROM pages LEFT JOIN kept ON page_id = id""",
         "p3_found": over,
+        "p8_found": """
+            WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+            i AS (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+            dg AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+            ig AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))
+            SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
     }
