@@ -41,7 +41,7 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark)}/skerry-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @atexit.register

@@ -142,6 +142,8 @@ def dom_lines(page: str) -> list[tuple[str, str, str]]:
         elif kind == CELL:
             if text:
                 text.append(" | ")
+            if stack and stack[-1][0] == "td":
+                stack.pop()
             stack.append((name, key))
         elif kind == CELL_END:
             for i in range(len(stack) - 1, -1, -1):

@@ -45,7 +45,7 @@ SIGN_BYTES = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256
 SENTENCE = re.compile(r"(?<=[.!?।])\s+")
 _ID = r"[A-Za-z][\w.\- ]{0,40}?"
 PLACEHOLDER = re.compile(
-    rf"\{{\{{\s*{_ID}\s*\}}\}}|\{{%\s*{_ID}\s*%\}}|[$#]!?\{{\s*{_ID}\s*\}}|<%=?\s*{_ID}\s*%>|%%{_ID}%%|@@{_ID}@@|__[A-Za-z][A-Za-z0-9.]*(?:_[A-Za-z0-9.]+)*__"
+    rf"\{{\{{\s*{_ID}\s*\}}\}}|\{{%\s*{_ID}\s*%\}}|[$#]!?\{{\s*{_ID}\s*\}}|<%=?\s*{_ID}\s*%>|%%{_ID}%%|@@{_ID}@@|(?<!\w)__[A-Za-z][A-Za-z0-9.]*(?:_[A-Za-z0-9.]+)*__(?!\w)"
     rf"|\[\[\s*{_ID}\s*\]\]|\[(?:node|site|user|field|term|page|current-\w+):[\w:.\-]+\]|\[\s*insert {_ID} here\s*\]|\[{_ID} goes here\]|<<\s*{_ID}\s*>>|<?\?(?:php|=)\s[^<>?]{{1,60}}\?>|(?<![\w$#{{(=\]]) ?\{{[a-z][a-z_]*(?:\.[a-z_]+)*\}}(?![\w}}(])",
     re.I,
 )

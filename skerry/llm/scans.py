@@ -41,6 +41,8 @@ from .common import materialize
 
 #: An original is at least so many times as frequent as its misread form, and so frequent at all.
 FAVOUR, FREQUENT = 10, 5
+#: Mean cosine to the words around below which a link contradicts its context.
+LEAST_FIT = -0.5
 #: Size of the vectors, words on each side, and the least occurrences of a word that has a vector.
 VECTOR, WINDOW, MIN_COUNT = 24, 3, 5
 #: Lines between two page borders at least, and files in which a form must recur to count as a header's form.
@@ -110,7 +112,7 @@ def borders(lines: list[str]) -> tuple[set[int], dict[int, str]]:
     heads: dict[int, str] = {}
     feeds = {i for i, x in enumerate(lines) if x.startswith("\x0c")}
     for i in full:
-        if i in numbers or i in bare or len(text[i]) > 70 or not re.search(r"[^\W\d_]{2}", text[i]):
+        if i in numbers or i in bare or len(text[i]) > 70 or text[i][0].islower() or not re.search(r"[^\W\d_]{2}", text[i]):
             continue
         k = place[i]
         near = {full[j] for j in (k - 1, k + 1) if 0 <= j < len(full)}
@@ -226,6 +228,9 @@ def _dot(a: Column, b: Column) -> Column:
 def vectors(rows: DataFrame) -> DataFrame:
     """(word, vector) by skip-gram, the vectors of length 1."""
     said = rows.select(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}@|'’-]+"), lambda w: F.length(w) > 1).alias("words"))
+    frequent = said.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") >= MIN_COUNT)
+    if frequent.isEmpty():
+        return rows.sparkSession.createDataFrame([], "word string, vector array<double>")
     model = Word2Vec(vectorSize=VECTOR, windowSize=WINDOW, minCount=MIN_COUNT, maxIter=1, numPartitions=4, seed=11, inputCol="words", outputCol="v").fit(said)
     from pyspark.ml.functions import vector_to_array
 
@@ -248,7 +253,7 @@ def knowledge(rows: DataFrame) -> DataFrame:
     score = score.groupBy("term", "original").agg((F.sum(F.col("n") * _dot(F.col("vector"), F.col("own"))) / F.sum("n")).alias("fit"))
     rated = links.join(score, ["term", "original"], "left").withColumn("fit", F.coalesce("fit", F.lit(0.0)))
     best = rated.groupBy("term", "odd").agg(F.max_by(F.struct("original", "fit", "often"), F.struct(F.round("fit", 1), F.col("often"), F.col("original"))).alias("b"))
-    best = best.filter(F.col("odd") | (F.col("b.fit") > -0.1)).select("term", F.col("b.original").alias("original"))
+    best = best.filter(F.col("odd") | (F.col("b.fit") > LEAST_FIT)).select("term", F.col("b.original").alias("original"))
     fixes = terms.join(best, "term").groupBy("file_id").agg(F.collect_list(F.struct("term", "original")).alias("fixes"))
     joins = terms.join(counts.select(F.col("word").alias("term"), "n"), "term").filter(F.col("n") > 1).groupBy("file_id").agg(F.collect_list(F.struct("term", "n")).alias("joins"))
     forms = materialize(rows.mapInArrow(_forms, "file_id long, form string, n long"))
