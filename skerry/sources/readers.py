@@ -24,7 +24,7 @@ def chunk_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, extracted_text, page_count): delimited files as text, cells joined by ' | ', blank rows dropped; page_count counts all rows."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
 
     @F.pandas_udf("struct<extracted_text:string,page_count:int>")
     def parse(texts: pd.Series) -> pd.DataFrame:
