@@ -62,7 +62,7 @@ PHRASES = re.compile(
             r"(?:could not|couldn't|cannot|can't|unable to|failed to|trouble) (?:find|load|open|show|display|locate|serve|connect|loading|opening|showing|reach)\b.{0,50}\b(?:page|record|file|document|view|item|content|address|stream|server|database|service)",
             r"\b(?:internal )?(?:server|database|gateway|application|fatal|parse|syntax) error\b|\bsomething went wrong\b|\berror (?:code|id|no\.?|number)? ?#?\d+\b|\b(?:http|status|code) ?[45]\d\d\b|\b[45]\d\d\b.{0,20}\b(?:error|not found|forbidden|unavailable)|\btimed out\b|\btimeout\b|\baccess denied\b|\bforbidden\b|\bpermission denied\b|\bbad gateway\b|\bservice unavailable\b|\boffline for maintenance\b|\bunder maintenance\b|\btraceback\b|\bstack trace\b|\bexception in\b|^\s*(?:warning|notice|fatal error|uncaught|traceback)\b.{0,80}(?:\bline \d+|include|undefined|at \w+)|\brequest id [0-9a-f]{4,}|\bsession (?:has )?expired\b|\bnothing to (?:show|see)\b|\bno (?:results|entries|content) (?:to show|found|available)\b",
             r"(?:enable|allow|activate|switch(?:ed)? on|turn(?:ed)? on|permit|unblock|need|require|support|without|disabled?|blocked|turned off|switched off)\w*\b.{0,45}\b(?:java ?scripts?|scripts?|scripting|active content)|(?:java ?scripts?|scripts?|scripting|active content)\b.{0,45}\b(?:enabled?|allow|activate|switch|turn|permit|need|require|disabled?|blocked|support|off\b)|\bbrowser is out of date\b|\bupdate your browser\b",
-            r"\blorem\b|\bipsum\b|\bdolor sit\b|\b(?:sample|dummy|placeholder|example|test) (?:paragraph|text|entry|page|body|content|heading|title|description)\b|\btext to be added\b|\bto be (?:added|written|completed|supplied|filled)\b|\b(?:description|content|text|body|summary|details) (?:pending|goes here|to follow|coming soon|missing)\b|\bcoming soon\b|^\W*(?:tbd|tba|tbc|todo|xxx)\b|\btbd tbd\b|\b(?:write|type|insert|enter|put|add) (?:something|your|the|a) .{0,40}\b(?:here|this box|this field|below)\b|\breplace with real\b|\bunder construction\b|\bnew page\b.{0,12}$",
+            r"\blorem\b|\bipsum\b|\bdolor sit\b|\b(?:sample|dummy|placeholder|example|test) (?:paragraph|text|entry|page|body|content|heading|title|description)\b|\btext to be added\b|\bto be (?:added|written|completed|supplied|filled)\b|\b(?:description|content|text|body|summary|details) (?:pending|goes here|to follow|coming soon|missing)\b|\bcoming soon\b|^\W*(?:tbd|tba|tbc|todo|xxx)\b|\btbd tbd\b|\b(?:write|type|insert|enter|put|add) (?:something|your|the|a) .{0,40}\b(?:here|this box|this field|below)\b|\breplace with real\b|\b(?:headline|heading|caption|tagline|logo|copy|image|picture|name|address)\b.{0,20}\b(?:goes|belongs|comes)\b.{0,20}\b(?:here|in this spot|there)|\bwords of copy\b|^\W*x{2,}(?:\W+x{2,})+\W*$|\bunder construction\b|\bnew page\b.{0,12}$",
             r"(?:seite|datei|dokument|eintrag|inhalt|adresse)\b.{0,50}\b(?:nicht (?:gefunden|vorhanden|verfügbar|angezeigt|geladen)|existiert nicht|entfernt)|\bein fehler ist\b|\bfehler ?\d{3}|(?:javascript|skripte?)\b.{0,40}\b(?:aktivieren|einschalten|erlauben|deaktiviert|benötigt|nötig)|\baktivieren sie\b",
             r"(?:page|fichier|document|contenu|adresse|fiche)\b.{0,50}\b(?:introuvable|n[’']existe (?:pas|plus)|indisponible|pas (?:été )?trouvée?|supprimée?|n[’']est (?:pas|plus) disponible)|\bune erreur (?:est|s)|(?:javascript|scripts?)\b.{0,40}\b(?:activer|activez|désactivé|nécessaire|requis)|\b(?:activez|veuillez activer|autorisez)\b",
             r"(?:página|archivo|documento|contenido|dirección|registro)\b.{0,50}\b(?:no (?:existe|encontrad[ao]|disponible|se (?:encuentra|encontró|puede)|está disponible|fue encontrad[ao])|eliminad[ao])|\bno se (?:ha )?(?:encontrado|encontró|pudo)\b|\bha ocurrido un error\b|(?:javascript|scripts?)\b.{0,40}\b(?:activar|active|habilit\w+|desactivado|necesari\w+)|\b(?:active|habilite|permita) (?:javascript|los scripts)",
