@@ -50,19 +50,16 @@ PAGE_LINES, FORM_FILES = 8, 3
 
 HYPHENS = "-‐‑­¬–"
 WORD = re.compile(r"[^\W_]+(?:[@|!'’0-9][^\W_]+)*[@|]?|[@|][^\W\d_]+")
-_SINGLE = str.maketrans({"e": "c", "t": "f", "i": "l", "1": "l", "|": "l", "!": "l", "0": "o", "5": "s", "9": "g", "q": "g", "@": "a", "8": "b", "6": "b", "h": "b", "é": "c", "j": "l"})
-_SEQUENCES = (("vv", "w"), ("rn", "m"), ("rl", "n"), ("cl", "d"), ("ll", "u"))
+#: Confusable glyphs, each written in the strokes that it is taken for.
+_GLYPHS = str.maketrans({"e": "c", "t": "f", "i": "l", "1": "l", "|": "l", "!": "l", "j": "l", "0": "o", "5": "s", "9": "g", "q": "g", "@": "a", "8": "b", "6": "b", "h": "b", "é": "c", "u": "ll", "n": "rl", "m": "rrl", "d": "cl", "w": "vv"})
 _NUMBER = r"[0-9lIOo|]{1,5}"
 LABEL = re.compile(rf"^(?P<open>[-—–\[(]?)\s*(?P<word>(?:page|pg\.?|p\.|p[a@]ge|seite|página|पृष्ठ)?)\s*(?P<n>{_NUMBER})(?:\s*(?:of|/|von|de|sur)\s*{_NUMBER})?\s*(?P<close>[-—–\])]?)(?P<tail>\s*[|·]\s*[^\W\d_]+)?$", re.I)
-ROMAN = {r: n for n, r in enumerate("i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx".split(), 1)}
-CODE = re.compile(r"\b(?=\w*[A-Z])[A-Z0-9@|]{2,}(?:-[0-9A-Zl|]+)+\b|\b\w*\d\w*\b")
+ROMAN = {t + u: 10 * i + j for i, t in enumerate(("", "x", "xx", "xxx", "xl", "l")) for j, u in enumerate(("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")) if t + u}
+CODE = re.compile(r"[A-Z0-9@|]{2,}(?:-[0-9A-ZlO|]+)+[,:]?")
 
 
 def glyph_key(word: str) -> str:
-    word = word.lower().translate(_SINGLE)
-    for a, b in _SEQUENCES:
-        word = word.replace(a, b)
-    return word
+    return word.lower().translate(_GLYPHS)
 
 
 def odd_shape(word: str) -> bool:
@@ -72,7 +69,7 @@ def odd_shape(word: str) -> bool:
 
 def form(line: str) -> str:
     """A line's form: codes and numbers masked, confusable glyphs folded."""
-    return " ".join("#" if x == "#" else glyph_key(x) for x in CODE.sub("#", line).split())
+    return " ".join("#" if CODE.fullmatch(x) else glyph_key(x if odd_shape(x) else re.sub(r"\d+", "#", x)) for x in line.split())
 
 
 def value(label: str) -> int:
@@ -105,6 +102,7 @@ def borders(lines: list[str]) -> tuple[set[int], dict[int, str]]:
     if len(chain) > 1:
         numbers |= set(chain)
     elif not numbers:
+        numbers |= {i for i in ends if text[i] in ROMAN}
         for i in ends & set(bare):
             k = place[i]
             if not any(full[j] in bare for j in (k - 1, k + 1) if 0 <= j < len(full)):
@@ -244,7 +242,7 @@ def knowledge(rows: DataFrame) -> DataFrame:
     terms = materialize(rows.mapInArrow(_terms, _TERM))
     kinds = terms.groupBy("term", "glyphs", "odd").agg(F.count("*").alias("files")).join(counts.select(F.col("word").alias("term"), "n"), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     frequent = counts.filter((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^[\p{L}\p{M}'’-]+$")).select("glyphs", F.col("word").alias("original"), F.col("n").alias("often"))
-    links = kinds.join(frequent, "glyphs").filter((F.col("original") != F.col("term")) & (F.col("often") >= FAVOUR * F.greatest("n", F.lit(1)))).select("term", "odd", "original", "often")
+    links = kinds.join(frequent, "glyphs").filter((F.col("original") != F.col("term")) & F.col("term").rlike(r"\p{L}") & (F.col("often") >= FAVOUR * F.greatest("n", F.lit(1)))).select("term", "odd", "original", "often")
     links = materialize(links)
     linked = terms.join(links.select("term").distinct(), "term", "left_semi").groupBy("file_id").agg(F.collect_set("term").alias("linked"))
     v = materialize(vectors(rows))
