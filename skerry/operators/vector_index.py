@@ -1,13 +1,16 @@
 """Exact and approximate nearest vectors by inner product.
 
-Exact search scores every row against each query and keeps the best k with a top-k a
-task. The approximate index (IVF) learns cells by k-means on a bounded sample and
+Exact search scores every row against each query and keeps the best k in each task. The approximate index (IVF) learns cells by k-means on a bounded sample and
 assigns every row to its cell; a query looks into the nearest cells only, which a
 join on the cell prunes. k grows with the sample, so that cells hold a bounded share.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -18,6 +21,8 @@ from ..functions.vectors import dot, squared_distance, unit
 
 #: Rows up to which search is exact by default, most cells, and rows on which cells are learned at most.
 EXACT_ROWS, MAX_CELLS, SAMPLE_ROWS = 10_000, 256, 50_000
+#: Queries that go to the tasks at once.
+BLOCK_QUERIES = 2_048
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, order: str = "vec_id") -> DataFrame:
@@ -26,12 +31,48 @@ def top_k(vectors: DataFrame, query: list[float], k: int, order: str = "vec_id")
     return vectors.withColumn("score", dot(F.col("embedding"), q)).orderBy(F.desc("score"), order).limit(k)
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, order: str = "vec_id") -> DataFrame:
-    """(query_id, row, score, rank): the k best rows of each query. The queries must fit a broadcast; each is a stated query against all rows."""
-    pairs = vectors.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("_q"))))
-    scored = pairs.withColumn("score", dot(F.col("embedding"), F.col("_q"))).drop("_q")
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, order: str = "vec_id", block: int = BLOCK_QUERIES) -> DataFrame:
+    """(query_id, order, score, rank): the k best rows of each query, ties by order (a long).
+
+    The queries are a stated set against all rows. They go out in blocks of a fixed
+    number, each one scan of the rows: a task multiplies a batch of rows with the
+    block as matrices and keeps k rows a query, so that only those are shuffled.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(order).cast("bigint").alias(order), F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding is not null")
+    kinds, found = f"query_id long, {order} long, score double", None
+    for names, q in _blocks(queries, block):
+        part = rows.mapInArrow(_best(names, q, k, order), kinds)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], kinds)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), order))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    names, vectors = [], []
+    for r in queries.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>")).filter("embedding is not null").toLocalIterator():
+        names.append(r[0]), vectors.append(r[1])
+        if len(names) == block:
+            yield np.array(names), np.array(vectors)
+            names, vectors = [], []
+    if names:
+        yield np.array(names), np.array(vectors)
+
+
+def _best(names: np.ndarray, q: np.ndarray, k: int, order: str):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(order).to_numpy()
+            m = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, -1)
+            scores = q @ m.T
+            best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", order, "score"])
+
+    return task
 
 
 def search(vectors: DataFrame, query: list[float], k: int = 6, least: float = 0.25, group: str = "label", order: str = "vec_id", over: int = 4, filters: str | None = None) -> DataFrame:
@@ -54,7 +95,8 @@ class CellIndex:
 
     def search(self, queries: DataFrame, k: int, probes: int = 32, order: str = "vec_id") -> DataFrame:
         """(query_id, row, score, rank): the k best rows of the probed cells of each query."""
-        near = self.centres.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("_q"))))
+        # the centres are at most MAX_CELLS rows
+        near = queries.select("query_id", F.col("embedding").alias("_q")).join(F.broadcast(self.centres))
         near = near.withColumn("d", squared_distance(F.col("centre"), F.col("_q")))
         nearest = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "cell"))
         probed = near.withColumn("n", nearest).filter(F.col("n") <= probes).select("query_id", "cell", "_q")
