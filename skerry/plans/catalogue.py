@@ -567,7 +567,7 @@ def context_blocks(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def source_lists(s: SparkSession, d: str) -> DataFrame:
-    return cv.source_lists(_chunks(s, d).withColumn("rank", F.col("chunk_id")), "node_type")
+    return cv.source_lists(_chunks(s, d).withColumn("rank", F.col("chunk_id")), "node_id")
 
 
 @query

@@ -282,6 +282,6 @@ def oracle_sql() -> dict[str, str]:
         "history_tail": f"SELECT conv_id, turn, role FROM {conversation} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4",
         "turn_counts": f"SELECT conv_id, count(*) // 2 AS turns FROM {conversation} GROUP BY 1",
         "context_blocks": f"SELECT node_id, string_agg({entry}, chr(10) || chr(10) ORDER BY chunk_index + 1, {entry}) AS context FROM ({budget.format(src='text_chunks', part='PARTITION BY node_id', order='chunk_id')}) WHERE used <= {rt.BUDGET} OR n = 1 GROUP BY node_id",
-        "source_lists": f"SELECT node_type, string_agg(s, chr(10) ORDER BY r, s) AS sources FROM (SELECT node_type, arg_min(s, {{'r': chunk_id, 's': s}}) AS s, min(chunk_id) AS r FROM (SELECT node_type, chunk_id, coalesce(nullif(source_url, ''), nullif(label, '')) AS k, '• ' || CASE WHEN coalesce(source_url, '') <> '' THEN coalesce(nullif(regexp_replace({path('source_url')}, '/+$', ''), ''), source_url) ELSE label END AS s FROM text_chunks) WHERE k IS NOT NULL GROUP BY node_type, k) GROUP BY node_type",
+        "source_lists": f"SELECT node_id, string_agg(s, chr(10) ORDER BY r, s) AS sources FROM (SELECT node_id, arg_min(s, {{'r': chunk_id, 's': s}}) AS s, min(chunk_id) AS r FROM (SELECT node_id, chunk_id, coalesce(nullif(source_url, ''), nullif(label, '')) AS k, '• ' || CASE WHEN coalesce(source_url, '') <> '' THEN coalesce(nullif(regexp_replace({path('source_url')}, '/+$', ''), ''), source_url) ELSE label END AS s FROM text_chunks) WHERE k IS NOT NULL GROUP BY node_id, k) GROUP BY node_id",
         "prompts": f"SELECT f.id AS conv_id, least(coalesce(n, 0), 2) + 1 AS n, '<context>' || chr(10) || coalesce(answer, 'No relevant context retrieved.') || chr(10) || '</context>' || chr(10) || chr(10) || 'Question: ' || question AS last FROM faqs f LEFT JOIN (SELECT conv_id, count(*) AS n FROM {conversation} GROUP BY 1) h ON f.id = h.conv_id WHERE question IS NOT NULL",
     }
