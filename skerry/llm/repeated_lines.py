@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,12 +90,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # a number for each row of the scan, as ids may be null
+    at = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
     for batch in batches:
         for part in slices(batch, "text"):
             c = chunked(strings(part.column("text")))
+            rows = pa.array(c["row"] + at)
+            at += part.num_rows
             yield pa.RecordBatch.from_arrays(
-                [part.column("page_id").take(pa.array(c["row"])), part.column("site").take(pa.array(c["row"])), *(pa.array(c[k].astype(np.int64)) for k in ("line_no", "line", "units", "unit"))],
-                names=["page_id", "site", "line_no", "line", "units", "unit"],
+                [rows, part.column("page_id").take(pa.array(c["row"])), part.column("site").take(pa.array(c["row"])), *(pa.array(c[k].astype(np.int64)) for k in ("line_no", "line", "units", "unit"))],
+                names=["row", "page_id", "site", "line_no", "line", "units", "unit"],
             )
 
 
@@ -105,12 +110,12 @@ def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     units = rows.select("site", "text").mapInArrow(_counts, "site long, unit long, pages long").groupBy("site", "unit").agg(F.sum("pages").alias("pages"))
     repeated = units.join(sites, "site").filter("pages >= least").select("site", "unit")
     candidates = (
-        rows.mapInArrow(_lines, "page_id long, site long, line_no long, line long, units long, unit long")
+        rows.mapInArrow(_lines, "row long, page_id long, site long, line_no long, line long, units long, unit long")
         .join(repeated, ["site", "unit"], "left_semi")
-        .groupBy("page_id", "site", "line_no", "line", "units")
+        .groupBy("row", "page_id", "site", "line_no", "line", "units")
         .count()
         .filter("count = units")
-        .groupBy("page_id", "site", "line")
+        .groupBy("row", "page_id", "site", "line")
         .agg(F.collect_set("line_no").alias("at"))
     )
     exact = candidates.groupBy("site", "line").count().join(sites, "site").filter("count >= least").select("site", "line")

@@ -54,6 +54,11 @@ def test_repeated_lines_removed(spark):
     assert rl.repeated_lines(pages.limit(0)).count() == 0
 
 
+def test_null_ids_are_counted(spark):
+    rows = [(None, "https://a.example/p", "Menu\nown " + "x" * i, "", "", 1) for i in range(3)]
+    assert [(r.page_id, r.line_no) for r in rl.repeated_lines(spark.createDataFrame(rows, PAGES)).collect()] == [(None, 1)] * 3
+
+
 def test_chunks_are_set_by_content():
     text = "".join(random.Random(2).choices("abcdefgh ij", k=900))
     a = rl.chunked(pa.array([text, "zz" + text], pa.large_string()))
