@@ -72,11 +72,11 @@ def test_relative_references(spark):
 
 
 def test_rule_order(spark):
-    rules = (("a", ("insat-3d",)), ("b", ("insat-3ds",)))
-    assert one(spark, ["x insat-3ds", "none", None], lambda c: rl.first_match(c, rules, "other")) == ["a", "other", "other"]
+    rules = (("a", ("orvex-2d",)), ("b", ("orvex-2ds",)))
+    assert one(spark, ["x orvex-2ds", "none", None], lambda c: rl.first_match(c, rules, "other")) == ["a", "other", "other"]
     assert one(spark, ["ab", "b", ""], lambda c: rl.all_matches(c, (("x", ("a",)), ("y", ("b",)), ("x", ("b",))))) == [["x", "y"], ["y", "x"], []]
-    table = spark.createDataFrame([(2, "insat-3ds", "b"), (1, "insat-3d", "a")], "seq int, keyword string, label string")
-    rows = spark.createDataFrame([(1, "x insat-3ds"), (2, "none")], "id int, t string")
+    table = spark.createDataFrame([(2, "orvex-2ds", "b"), (1, "orvex-2d", "a")], "seq int, keyword string, label string")
+    rows = spark.createDataFrame([(1, "x orvex-2ds"), (2, "none")], "id int, t string")
     assert {(r.id, r.label) for r in rl.matched_by_table(rows, "t", table, "id").collect()} == {(1, "a"), (2, None)}
 
 
