@@ -36,7 +36,6 @@ empty results.
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
 
@@ -46,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw, site_of, slices, strings, word_hashes
+from .common import materialize, runs, site_of
 
 #: Composite importance below which a node is noise.
 LEAST = 0.8
@@ -218,7 +217,7 @@ _FORM = pa.struct([("node", pa.int64()), ("form", pa.int64()), ("first", pa.int6
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in runs(batches):
         nodes, keys, sizes, forms = [], [], [], []
         for text, page in zip(batch.column("text").to_pylist(), batch.column("html").to_pylist()):
             if text is None:
@@ -332,7 +331,7 @@ def fit(rows: list[list[int]], labels: np.ndarray, weights: int = WEIGHTS, l2: f
 
 def _resolve(w: np.ndarray):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches):
             noise = []
             for text, title, known, node in zip(*(batch.column(c).to_pylist() for c in ("text", "title", "noise", "node"))):
                 lines = text.split("\n")

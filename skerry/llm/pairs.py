@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import runs
+
 DEFECTS = ("empty_answer", "copied_question", "refusal", "wrong_language", "truncated_answer")
 
 #: Answers that say nothing, without punctuation.
@@ -220,7 +222,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in runs(batches):
         defects, last, pair, sizes = [], [], [], []
         for q, a in zip(batch.column("question").to_pylist(), batch.column("answer").to_pylist()):
             q, size = q or "", 0

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, mixed, raw, word_hashes
+from .common import mixed, raw, runs, word_hashes
 from .main_body import bare
 
 SAMPLE_PAGES, WEIGHTS = 1500, 1 << 16
@@ -231,7 +231,7 @@ def judge(w: np.ndarray, pages: list[tuple[str | None, list | None, str | None]]
 
 def _judge(w: np.ndarray):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches):
             found = judge(w, list(zip(*(batch.column(c).to_pylist() for c in ("text", "noise", "title")))))
             yield pa.RecordBatch.from_arrays([batch.column("page_id").filter(pa.array(found, pa.bool_()))], names=["page_id"])
 

@@ -37,7 +37,7 @@ from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, runs
 
 #: An original is at least so many times as frequent as its misread form, and so frequent at all.
 FAVOUR, FREQUENT = 10, 5
@@ -182,7 +182,7 @@ _TERM = "file_id long, term string, glyphs string, odd boolean"
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of each file, and the joined words and compounds at its line ends."""
-    for batch in batches:
+    for batch in runs(batches):
         ids, terms = [], []
         for i, text in zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist()):
             lines = text.split("\n")
@@ -197,7 +197,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in runs(batches):
         rows = []
         for i, text in zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist()):
             n = Counter(borders(text.split("\n"))[1].values())
@@ -207,7 +207,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, near, n): the words within WINDOW of each linked word, summed within the batch."""
-    for batch in batches:
+    for batch in runs(batches):
         n: Counter[tuple[str, str]] = Counter()
         for text, linked in zip(batch.column("text").to_pylist(), batch.column("linked").to_pylist()):
             wanted = set(linked or ())
@@ -341,13 +341,13 @@ def _files(batch: pa.RecordBatch) -> Iterator[tuple[int, File]]:
 
 
 def _noise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in runs(batches):
         rows = [(i, n, kind) for i, f in _files(batch) for n, kind in f.noise()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["file_id", "line_no", "noise"])
 
 
 def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in runs(batches):
         rows = [(i, f.paragraphs()) for i, f in _files(batch)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["file_id", "paragraphs"])
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, runs
 from .pairs import STOPWORDS
 
 KINDS = ("prose", "list", "table", "junk")
@@ -168,7 +168,7 @@ _MASK = pa.struct([("mask", pa.int32()), ("lines", pa.int32()), ("chars", pa.int
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _STATS.split(", ")]
-    for batch in batches:
+    for batch in runs(batches):
         stats, bodies, masks = [], [], []
         for text, noise in zip(batch.column("text").to_pylist(), batch.column("noise").to_pylist()):
             if text is None:
