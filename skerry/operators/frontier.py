@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..session import checkpoint_root
 from . import dedup
 
 
@@ -49,9 +48,8 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, most: int = 4) -> DataFram
     written to the checkpoint folder at each level, which cuts the lineage.
     """
     spark = edges.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skerry-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     edges = edges.select("src", "dst").distinct()
     visited = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     for level in range(most):
