@@ -11,12 +11,14 @@ from ..functions import html as ht
 from ..functions import rules as rl
 from ..functions import text as tx
 from ..functions import urls as ur
+from ..operators import chat as ch
 from ..operators import chunking as ck
 from ..operators import conversation as cv
 from ..operators import dedup as dd
 from ..operators import entities as en
 from ..operators import frontier as fr
 from ..operators import graph as gr
+from ..operators import ingest as ig
 from ..operators import reports as rp
 from ..operators import retrieval as rt
 from ..operators import vector_index as vx
@@ -31,6 +33,7 @@ SLUGS = ("orvex-2", "selkara-1", "nimbra-3", "thalvos-4", "ventira-1", "mariste-
 MISSIONS: rl.Rules = tuple((s, (s, s.replace("-", ""))) for s in SLUGS)
 DOMAINS = ("samverta.example", "velkara.example", "norvane-met.example")
 SEARCHED = ("significant wave height near the Uskar Desert", "calibration coefficients for the Coral Scanner", "orbit files in NetCDF")
+ROBOTS = (("portal.samverta.example", "*", False, "/internal"), ("portal.samverta.example", "*", True, "/internal/catalog"), ("archive.velkara.example", "*", False, "/node"), ("learn.quenmar.example", "other", False, "/"), ("blog.kaspen-sea.example", "*", False, ""))
 PAGE_TYPES = ("mission", "mission_section", "product", "document", "open_data", "general")
 GARBAGE = ("/internal/", "/ajax/", "?language=", "/print/", "/user/", "/search")
 
@@ -176,6 +179,41 @@ def html_faqs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("id", F.explode(ht.faqs_of(F.col("content_html"))).alias("q")).select("id", "q.question", "q.answer", "q.method")
 
 
+# ---- ingestion
+
+
+def _fetched(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "pages").select("id", "url", F.col("content_html").alias("html"), "status_code", "depth")
+
+
+@query
+def ingest_pages(s: SparkSession, d: str) -> DataFrame:
+    return ig.page_rows(_fetched(s, d), SLUGS)
+
+
+@query
+def ingest_new_pages(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "pages").filter("status_code = 200").withColumn("content_hash", tx.content_hash(F.col("content_text")))
+    known = table(s, d, "pages").filter("status_code <> 200").select(tx.content_hash(F.col("content_text")).alias("content_hash"))
+    return ig.new_content(rows, known, "id").select("id", "content_hash")
+
+
+@query
+def ingest_links(s: SparkSession, d: str) -> DataFrame:
+    return ig.sitemap_links(_fetched(s, d), DOMAINS).select("source_url", "url", "is_document")
+
+
+@query
+def ingest_sections(s: SparkSession, d: str) -> DataFrame:
+    return ig.section_links(_fetched(s, d), DOMAINS)
+
+
+@query
+def robots_permitted(s: SparkSession, d: str) -> DataFrame:
+    robots = s.createDataFrame(ROBOTS, "host string, agent string, allow boolean, path string")
+    return ig.permitted(table(s, d, "crawl_queue"), robots).select("id")
+
+
 # ---- rules
 
 
@@ -542,6 +580,13 @@ def retrieve(s: SparkSession, d: str) -> DataFrame:
     return rt.within_budget(ranked).select("chunk_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query
+def answer_context(s: SparkSession, d: str) -> DataFrame:
+    chunks = ch.embedded(ck.cleaned(table(s, d, "text_chunks")).withColumn("seq", F.col("chunk_id")))
+    found = ch.retrieved(chunks, SEARCHED[0], least=0.1)
+    return found.select("chunk_id", F.col("rank").cast("bigint").alias("rank"), "kind")
+
+
 # ---- conversation
 
 

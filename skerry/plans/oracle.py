@@ -132,7 +132,7 @@ def split(source: str, key: str, text: str, size: int = 1500, overlap: int = 200
 
 
 def oracle_sql() -> dict[str, str]:
-    from .catalogue import DOMAINS, GARBAGE, MISSIONS, PAGE_TYPES, SEARCHED, SLUGS
+    from .catalogue import DOMAINS, GARBAGE, MISSIONS, PAGE_TYPES, ROBOTS, SEARCHED, SLUGS
 
     rank = "CASE coalesce(section_type, '') " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(rp.SECTION_ORDER)) + f" ELSE {len(rp.SECTION_ORDER) + 1} END"
     texts = f"""
@@ -226,6 +226,8 @@ def oracle_sql() -> dict[str, str]:
         "page_links": f"WITH {links} SELECT url, target FROM links",
         "page_title": "SELECT id, CASE WHEN t <> '' THEN substr(split_part(t, ' | ', 1), 1, 300) ELSE 'Untitled' END AS title FROM (SELECT id, trim(regexp_replace(regexp_extract(content_html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS t FROM pages WHERE content_html IS NOT NULL)",
         "html_title": "SELECT id, CASE WHEN t <> '' THEN substr(split_part(t, ' | ', 1), 1, 300) ELSE 'Untitled' END AS title FROM (SELECT id, trim(regexp_replace(regexp_extract(content_html, '(?is)<title[^>]*>(.*?)</title>', 1), ' +', ' ', 'g')) AS t FROM pages WHERE content_html IS NOT NULL)",
+        "ingest_new_pages": "SELECT id, h AS content_hash FROM (SELECT id, status_code, sha256(coalesce(content_text, '')) AS h FROM pages) WHERE status_code = 200 AND h NOT IN (SELECT sha256(coalesce(content_text, '')) FROM pages WHERE status_code <> 200) QUALIFY row_number() OVER (PARTITION BY h ORDER BY id) = 1",
+        "robots_permitted": f"WITH r(host, agent, allow, path) AS (VALUES {', '.join(f'({lit(a)}, {lit(b)}, {c}, {lit(e)})' for a, b, c, e in ROBOTS)}), q AS (SELECT DISTINCT url, {host('url')} AS host, regexp_extract(url, '^{SCHEME}://[^/?#]*(.*)$', 1) AS p FROM crawl_queue), v AS (SELECT url, arg_max(allow, {{'n': length(path), 'a': allow}}) AS allow FROM q JOIN r ON q.host = r.host AND agent = '*' AND path <> '' AND starts_with(p, path) GROUP BY url) SELECT id FROM crawl_queue WHERE url IS NULL OR url NOT IN (SELECT url FROM v WHERE NOT allow)",
         "page_classify": f"SELECT id, {kinds} AS kind FROM pages",
         "section_classify": f"SELECT id, {rules('concat_ws(chr(32), lower(section_url), lower(section_title))', en.SECTIONS, 'other')} AS kind FROM mission_hierarchy",
         "query_classify": f"SELECT id, {rules('lower(question)', rt.QUESTION_KINDS, 'general')} AS kind, {topic} AS topic FROM faqs",
