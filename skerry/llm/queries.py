@@ -26,6 +26,11 @@ def p1_kept_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(found, pages.id == found.page_id, "left_anti").select(F.col("id").alias("page_id"))
 
 
+def p1_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = residue.validate(main_body.main_bodies(_table(spark, sf_dir, "pages")))
+    return spark.createDataFrame([(int(report["sites"]), int(report["segments"]), float(report["precision"]), float(report["recall"]))], "sites long, segments long, precision double, recall double")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.repeated_lines(_table(spark, sf_dir, "pages"))
 
@@ -77,6 +82,10 @@ def p6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_body.body_text(bodies).join(residue.residue_pages(bodies), "page_id", "left_anti")
 
 
+def p6_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_body.style_tree(main_body.parsed(_table(spark, sf_dir, "pages")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.main_defects(pairs.defects(_table(spark, sf_dir, "faqs")))
 
