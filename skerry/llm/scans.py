@@ -119,7 +119,7 @@ def borders(lines: list[str]) -> tuple[set[int], dict[int, str]]:
     # lines of several words that recur at a distance, without any number beside them
     seen: dict[str, list[int]] = {}
     for i in full:
-        if i not in numbers and i not in bare and 2 <= len(text[i].split()) <= 9 and text[i][-1] not in ".,;:" and text[i][:1].isupper() and not re.search(r"[|\t,]|\s{3}", text[i]) and (i == 0 or not text[i - 1] or i in heads or text[i - 1][-1:] not in "."):
+        if i not in numbers and i not in bare and 2 <= len(text[i].split()) <= 9 and text[i][-1] not in ".,;:" and text[i][:1].isupper() and not re.search(r"[|\t]|\s{3}", text[i]):
             seen.setdefault(form(text[i]), []).append(i)
     for f, at in seen.items():
         if sum(b - a >= PAGE_LINES for a, b in zip(at, at[1:])) >= 2:
