@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from urllib.parse import urljoin
 
@@ -56,10 +57,8 @@ def resolved_any(href: Column, base: Column) -> Column:
 
 
 def contains_any(c: Column, parts: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for p in parts:
-        hit = hit | F.contains(c, F.lit(p))
-    return hit
+    """c contains one of the parts: one pattern, so that c is made once."""
+    return c.rlike("|".join(map(re.escape, parts))) if parts else F.lit(False)
 
 
 def is_excluded(c: Column, parts: Sequence[str] = EXCLUDED) -> Column:
@@ -68,17 +67,12 @@ def is_excluded(c: Column, parts: Sequence[str] = EXCLUDED) -> Column:
 
 def is_allowed(c: Column, domains: Sequence[str], parts: Sequence[str] = EXCLUDED) -> Column:
     """Not empty, the host ends with a domain (also within a label), nothing excluded in it."""
-    ok = F.lit(False)
-    for d in domains:
-        ok = ok | host(c).endswith(d)
+    ok = host(c).rlike(f"(?:{'|'.join(map(re.escape, domains))})$") if domains else F.lit(False)
     return F.coalesce((c != "") & ok & ~is_excluded(c, parts), F.lit(False))
 
 
 def is_document(c: Column, suffixes: Sequence[str] = DOCUMENT_SUFFIXES) -> Column:
-    hit = F.lit(False)
-    for s in suffixes:
-        hit = hit | F.lower(path(c)).endswith(s)
-    return F.coalesce(hit, F.lit(False))
+    return F.coalesce(F.lower(path(c)).rlike(f"(?:{'|'.join(map(re.escape, suffixes))})$"), F.lit(False))
 
 
 def file_type(c: Column, mime: Column | None = None) -> Column:
