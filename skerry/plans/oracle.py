@@ -57,6 +57,8 @@ def normal(x: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '^(?i:https?)://[^/?#]+') THEN lower(regexp_extract({x}, '^([A-Za-z]+):', 1)) || regexp_replace({x}, '^[A-Za-z]+', '') END"
 
 
+#: A run of letters, marks, digits and joiners of three characters or more.
+WORD = r"[\p{L}\p{M}\p{N}\p{Pc}]{3,}"
 SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 
 
@@ -277,6 +279,7 @@ def oracle_sql() -> dict[str, str]:
         "vector_search_filtered": group_search(24, 6, "AND label % 2 = 0"),
         "vector_topk_each": f"SELECT query_id, vec_id, round(s, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {dot} AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 10",
         "keyword_search": f"SELECT chunk_id, CAST(hits AS BIGINT) AS hits FROM (SELECT chunk_id, {words_hit(chunk_said, SEARCHED[0])} AS hits FROM text_chunks) WHERE hits > 0 ORDER BY hits DESC, chunk_id LIMIT 25",
+        "keyword_search_each": f"WITH q(query_id, text) AS (VALUES {', '.join(f'({i}, {lit(x)})' for i, x in enumerate(SEARCHED))}), w AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM q), c AS (SELECT DISTINCT chunk_id, unnest(regexp_extract_all({chunk_said}, '{WORD}')) AS word FROM text_chunks), h AS (SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, count(*) AS hits FROM c JOIN w USING (word) GROUP BY ALL) SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) <= {rt.TOP_K}",
         "graph_enrich": f"WITH {results} SELECT chunk_id, CAST(score AS DOUBLE) AS score FROM enriched",
         "rerank": f"WITH {results} SELECT chunk_id, row_number() OVER (ORDER BY score + {boost('document')} DESC, rank) AS rank FROM results",
         "budget_trim": f"SELECT chunk_id, node_id FROM ({budget.format(src='text_chunks', part='PARTITION BY node_id', order='chunk_id')}) WHERE used <= {rt.BUDGET} OR n = 1",
