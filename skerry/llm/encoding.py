@@ -10,15 +10,15 @@ original under the word frequencies of the corpus.
 Detection has two steps. Structure: a run of characters that, encoded back, is
 well-formed UTF-8 whose characters the corpus uses is damage (chance makes that
 nearly impossible), and so are U+FFFD and C1 controls. Frequency: a word with
-characters rare in the corpus, or with an incomplete sequence, is damage if some
-channel makes it of a word that the corpus has more often. A run that stands alone
+non-ASCII characters, whichever they are, is damage if some channel makes it of a
+word that the corpus has more often. A run that stands alone
 between spaces where no such character stands in running text (a text that
 quotes garbled signs to discuss them) is no evidence.
 
 Plan: a first scan counts the words with non-ASCII characters (aggregated in
 each batch), a second scan emits evidence. The vocabulary is never collected or
-broadcast: doubtful words meet the channel images of the vocabulary by a shuffle
-join, in which each word is one row. Counts of characters are collected; there are
+broadcast: its words meet the channel images of its frequent words by a shuffle
+join, in which each word is one row; words of one character are too short to tell. Counts of characters are collected; there are
 as many as the corpus has characters, at most the 150,000 or so of Unicode.
 
 Cases: null, empty and ASCII texts are not damaged; foreign letters in proper use
@@ -70,6 +70,8 @@ def _has(codec: str, b: int) -> bool:
 
 TABLES = {c: _table(c) for c in dict.fromkeys((*READ_AS, *(r for _, r in LEGACY)))}
 BACK = {c: {b: ch for ch, b in t.items()} for c, t in TABLES.items()}
+#: All non-ASCII characters that a channel can make; a word with any other is no channel's image.
+MADE = frozenset(ch for t in TABLES.values() for ch in t) | {LOST}
 
 
 def lattice(span: str, codec: str) -> list[int | None] | None:
@@ -138,10 +140,10 @@ def _partial(run: str) -> bool:
 
 
 def evidence(text: str, usual: set[str]) -> tuple[int, list[str]]:
-    """(spans that are damage by structure, words that the frequencies must decide)."""
+    """(spans that are damage by structure, words that the frequencies must decide if there are none)."""
     if text.isascii():
         return 0, []
-    strong, doubtful = 0, []
+    strong, words = 0, set()
     if LOST in text or CONTROL.search(text):
         strong += sum(1 for t in TOKEN.findall(text) if (LOST in t or CONTROL.search(t)) and t.strip(EDGE) != LOST)
     known: dict[str, str | None] = {}
@@ -154,16 +156,12 @@ def evidence(text: str, usual: set[str]) -> tuple[int, list[str]]:
             if run not in known:
                 known[run] = next((r for r in (restored(run[a:b], usual) for a in range(len(run)) for b in range(len(run), a + 1, -1)) if r), None) if len(run) <= 8 else restored(run, usual) or restored(run[:6], usual) or restored(run[1:7], usual) or _within(run, usual)
             out = known[run]
-            if out is None:
-                if _partial(run):
-                    doubtful.append(word)
-            elif word == run.strip(EDGE) and (len(out) == 1 and (out.isalpha() or out in "’‘“”'\"")):
+            if out is None or word == run.strip(EDGE) and (len(out) == 1 and (out.isalpha() or out in "’‘“”'\"")):
                 continue
-            else:
-                strong += 1
-        if word and (_mixed(word) or any(c > "\x7f" and c not in usual and not "ऀ" <= c <= "ॿ" for c in word) or "â" in word or "Â" in word or "Ã" in word):
-            doubtful.append(word)
-    return strong, list(dict.fromkeys(w for w in doubtful if 1 < len(w) <= 60))
+            strong += 1
+        if len(word) > 1 and not word.isascii():
+            words.add(word)
+    return strong, [] if strong else sorted(w for w in words if all(c < "\x80" or c in MADE for c in w))
 
 
 def _within(run: str, usual: set[str]) -> str | None:
@@ -188,15 +186,6 @@ def _within(run: str, usual: set[str]) -> str | None:
     return None
 
 
-_LATIN = re.compile(r"[a-zA-Z]")
-_OTHER = re.compile(r"[Ͱ-ϿЀ-ӿ─-▟≠-≥√-∞ªº¿¡¢-¨«-®±-¹¼-¿‚„†‡ˆ‰‹›€™∂∏∑]")
-
-
-def _mixed(word: str) -> bool:
-    """Latin letters next to letters of another alphabet or to signs that don't stand within words."""
-    return any(_LATIN.search(word[max(0, m.start() - 1) : m.start()] + word[m.end() : m.end() + 1]) for m in _OTHER.finditer(word))
-
-
 def images(word: str) -> set[str]:
     """What the channels make of a word, with losses."""
     out = set()
@@ -224,7 +213,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n: Counter[str] = Counter()
         for text in batch.column("text").to_pylist():
-            n.update(w for t in TOKEN.findall(text) if 0 < len(w := t.strip(EDGE)) <= 60 and not w.isascii())
+            n.update(w for t in TOKEN.findall(text) if not (w := t.strip(EDGE)).isascii())
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
 
@@ -261,7 +250,7 @@ def _scan(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, set[str]]
 
 
 def _originals(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
-    """(image, word, n): the corpus' words from which the channels make the given doubtful words."""
+    """(image, word, n): the corpus' words from which the channels make the given words."""
     seen = words.join(vocabulary.select(F.col("word").alias("image"), F.col("n").alias("own")), "image", "left").withColumn("own", F.coalesce("own", F.lit(1)))
     made = vocabulary.filter(F.col("n") >= LEAST).mapInArrow(_images, "image string, word string, n long")
     return seen.join(made, "image").filter(F.col("n") >= F.col("own") * FAVOUR).select("image", "word", "n")
@@ -269,7 +258,7 @@ def _originals(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
 
 def garbled_from(marks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     doubts = marks.filter("spans = 0").select("doc_id", F.explode("words").alias("image"))
-    verified = _originals(vocabulary, doubts.select("image").distinct()).select("image").distinct()
+    verified = _originals(vocabulary, vocabulary.filter("length(word) > 1").select(F.col("word").alias("image"))).select("image").distinct()
     return marks.filter("spans > 0").select("doc_id").unionByName(doubts.join(verified, "image", "left_semi").select("doc_id").distinct())
 
 

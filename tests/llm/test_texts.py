@@ -211,6 +211,18 @@ def test_garbled(spark):
     assert en.garbled(docs.limit(0)).count() == 0
 
 
+def test_channels_are_asked_whatever_the_characters(spark):
+    long = "données-" * 8 + "enregistrées"
+    good = f"La précision des données enregistrées est bonne, {long} et geringfügig à télécharger."
+    rows = [(i, f"{good} Žilina Ÿ-axis Èze Última", "k") for i in range(40)]
+    pairs = (("cp1252", "mac_roman", "enregistrées"), ("cp1252", "cp850", "précision"), ("cp1252", "mac_roman", long), ("mac_roman", "cp1252", "geringfügig"), ("mac_roman", "cp1252", "télécharger"))
+    rows += [(100 + n, f"Note {word.encode(wrote).decode(read)} here", "k") for n, (wrote, read, word) in enumerate(pairs)]
+    rows += [(200, "The Èze and Última of Žilina – à", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, word string")
+    assert {r.doc_id for r in en.garbled(docs).collect()} == {100, 101, 102, 103, 104}
+    assert {r.restored_text for r in en.restore(docs).collect()} == {f"Note {word} here" for _, _, word in pairs}
+
+
 def test_temperature():
     tokens = {"a": 900, "b": 90, "c": 10}
     a, w = mx.temperature_weights(tokens, entropy=1.0)
