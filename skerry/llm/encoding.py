@@ -11,12 +11,13 @@ Detection has two steps. Structure: a run of characters that, encoded back, is
 well-formed UTF-8 whose characters the corpus uses is damage (chance makes that
 nearly impossible), and so are U+FFFD and C1 controls. Frequency: a word with
 non-ASCII characters, whichever they are, is damage if some channel makes it of a
-word that the corpus has more often. A run that stands alone
+word that the corpus has more often, by different texts or by rows: damage that is
+copied into many rows stands in few texts. A run that stands alone
 between spaces where no such character stands in running text (a text that
 quotes garbled signs to discuss them) is no evidence.
 
-Plan: a first scan counts the words with non-ASCII characters (aggregated in
-each batch), a second scan emits evidence. The vocabulary is never collected or
+Plan: a first scan groups the rows by text and counts the words with non-ASCII
+characters in each text once and by its rows (aggregated in each batch), a second scan emits evidence. The vocabulary is never collected or
 broadcast: its words meet the channel images of its frequent words by a shuffle
 join, in which each word is one row; words of one character are too short to tell. Counts of characters are collected; there are
 as many as the corpus has characters, at most the 150,000 or so of Unicode.
@@ -43,9 +44,9 @@ from .common import materialize, runs
 READ_AS = ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859_2", "koi8_r", "cp1254", "iso8859_15")
 #: (written in, read as) pairs of single-byte encodings.
 LEGACY = (("cp1252", "cp1251"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("cp1252", "cp1250"), ("cp1252", "koi8_r"), ("cp1252", "cp1253"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"))
-#: How many times more often than the damaged form the original must occur, and least often.
+#: How many times more often than the damaged form the original must occur, and least often, in different texts or in rows.
 FAVOUR, LEAST = 4, 3
-#: A character is usual if it stands in at least this share of the corpus' non-ASCII words' occurrences, or in this many.
+#: A character is usual if it stands in at least this share of the non-ASCII words' occurrences in different texts, or in this many.
 USUAL_SHARE, USUAL = 2e-5, 5
 
 RUN = re.compile(r"[^\x00-\x7fऀ-ॿ]+")
@@ -212,9 +213,12 @@ def images(word: str) -> set[str]:
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n: Counter[str] = Counter()
-        for text in batch.column("text").to_pylist():
-            n.update(w for t in TOKEN.findall(text) if not (w := t.strip(EDGE)).isascii())
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+        all_rows: Counter[str] = Counter()
+        for text, copies in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist()):
+            found = Counter(w for t in TOKEN.findall(text) if not (w := t.strip(EDGE)).isascii())
+            n.update(found)
+            all_rows.update(found if copies == 1 else {w: k * copies for w, k in found.items()})
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([all_rows[w] for w in n], pa.int64())], names=["word", "n", "in_rows"])
 
 
 def _evidence(usual: set[str]):
@@ -228,9 +232,9 @@ def _evidence(usual: set[str]):
 
 def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in runs(batches):
-        words = [(w, n) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()) if LOST not in w and not any(well_formed(r, c) for r in RUN.findall(w) for c in ("cp1252", "latin_1"))]
-        rows = [(i, w, n) for w, n in words for i in images(w)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["image", "word", "n"])
+        words = [x for x in zip(*(batch.column(c).to_pylist() for c in ("word", "n", "in_rows"))) if LOST not in x[0] and not any(well_formed(r, c) for r in RUN.findall(x[0]) for c in ("cp1252", "latin_1"))]
+        rows = [(i, *x) for x in words for i in images(x[0])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["image", "word", "n", "in_rows"])
 
 
 def _usual(vocabulary: DataFrame) -> set[str]:
@@ -243,7 +247,7 @@ def _usual(vocabulary: DataFrame) -> set[str]:
 
 def _scan(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, set[str]]:
     rows = corpus.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").rlike(r"[^\x00-\x7F]"))
-    vocabulary = materialize(rows.select("text").mapInArrow(_vocabulary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    vocabulary = materialize(rows.groupBy("text").agg(F.count("*").alias("copies")).mapInArrow(_vocabulary, "word string, n long, in_rows long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("in_rows").alias("in_rows")))
     usual = _usual(vocabulary)
     marks = materialize(rows.mapInArrow(_evidence(usual), "doc_id long, spans long, words array<string>").filter("spans > 0 or size(words) > 0"))
     return rows, vocabulary, marks, usual
@@ -251,9 +255,11 @@ def _scan(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, set[str]]
 
 def _originals(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     """(image, word, n): the corpus' words from which the channels make the given words."""
-    seen = words.join(vocabulary.select(F.col("word").alias("image"), F.col("n").alias("own")), "image", "left").withColumn("own", F.coalesce("own", F.lit(1)))
-    made = vocabulary.filter(F.col("n") >= LEAST).mapInArrow(_images, "image string, word string, n long")
-    return seen.join(made, "image").filter(F.col("n") >= F.col("own") * FAVOUR).select("image", "word", "n")
+    own = vocabulary.select(F.col("word").alias("image"), F.col("n").alias("own"), F.col("in_rows").alias("own_rows"))
+    seen = words.join(own, "image", "left").withColumns({"own": F.coalesce("own", F.lit(1)), "own_rows": F.coalesce("own_rows", F.lit(1))})
+    made = vocabulary.filter(F.col("in_rows") >= LEAST).mapInArrow(_images, "image string, word string, n long, in_rows long")
+    by_text = (F.col("n") >= LEAST) & (F.col("n") >= F.col("own") * FAVOUR)
+    return seen.join(made, "image").filter(by_text | (F.col("in_rows") >= F.col("own_rows") * FAVOUR)).select("image", "word", "n")
 
 
 def garbled_from(marks: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -223,6 +223,15 @@ def test_channels_are_asked_whatever_the_characters(spark):
     assert {r.restored_text for r in en.restore(docs).collect()} == {f"Note {word} here" for _, _, word in pairs}
 
 
+def test_copies_of_damage_are_found(spark):
+    good = "Le relevé montre une fenêtre près de la côte"
+    bad = good.encode("cp1252").decode("mac_roman")
+    rows = [(i, f"{good}, numéro {i}.", "k") for i in range(12)] + [(100 + i, bad, "k") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, word string")
+    assert {r.doc_id for r in en.garbled(docs).collect()} == set(range(100, 130))
+    assert {r.restored_text for r in en.restore(docs).collect()} == {good}
+
+
 def test_temperature():
     tokens = {"a": 900, "b": 90, "c": 10}
     a, w = mx.temperature_weights(tokens, entropy=1.0)
