@@ -14,7 +14,9 @@
   form feed or at the file's ends that recur in the file, or whose form (codes and
   digits masked) recurs in that place in the corpus.
 
-Plan: all corpus knowledge is made by aggregation and joined to the files through
+Plan: words are counted once in each different text, so that a text under many ids
+doesn't make its misread forms frequent, and each file is judged by these counts. All
+corpus knowledge is made by aggregation and joined to the files through
 their own terms: a file receives the links of its words, the counts of its joined
 words and the forms of its border lines, so no vocabulary is collected or sent to
 all tasks. The Word2Vec model keeps words of at least MIN_COUNT occurrences; its
@@ -238,7 +240,7 @@ def vectors(rows: DataFrame) -> DataFrame:
 
 def knowledge(rows: DataFrame) -> DataFrame:
     """(file_id, fixes: misread word to original, joins: joined words to count, heads: forms) for each file; rows: file_id, text."""
-    counts = materialize(rows.select("text").mapInArrow(_count, "word string, glyphs string, n long").groupBy("word", "glyphs").agg(F.sum("n").alias("n")))
+    counts = materialize(rows.select("text").distinct().mapInArrow(_count, "word string, glyphs string, n long").groupBy("word", "glyphs").agg(F.sum("n").alias("n")))
     terms = materialize(rows.mapInArrow(_terms, _TERM))
     kinds = terms.groupBy("term", "glyphs", "odd").agg(F.count("*").alias("files")).join(counts.select(F.col("word").alias("term"), "n"), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     frequent = counts.filter((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^[\p{L}\p{M}'’-]+$")).select("glyphs", F.col("word").alias("original"), F.col("n").alias("often"))

@@ -159,6 +159,15 @@ def test_scans(spark):
     assert sc.scan_noise(files.limit(0)).count() == 0
 
 
+def test_copies_of_a_scan_are_judged_alike(spark):
+    rng = random.Random(7)
+    copied = "the statiori of every forecast\nsaw the cl0ud"
+    rows = [(i, scanned(rng, 3, False), "x") for i in range(6)] + [(100 + i, copied, "x") for i in range(60)]
+    files = spark.createDataFrame(rows, "id long, extracted_text string, word string")
+    got = {(r.file_id, r.line_no) for r in sc.scan_noise(files).filter("noise = 'misread'").collect()}
+    assert got == {(100 + i, n) for i in range(60) for n in (1, 2)}
+
+
 def test_page_numbers():
     lines = ["Text of the first page that goes on", *["line of text"] * 9, "101", *["line of text"] * 9, "lO2", *["more text here"] * 9, "103"]
     assert sc.borders(lines)[0] == {10, 20, 30}
