@@ -5,8 +5,8 @@ order of DEFECTS; the first is the pair's main defect. Emptiness, refusals,
 copies and languages are judged from the pair alone. An abrupt end is judged
 against the whole corpus of answers: counts of how often each word, and each
 pair of words, ends a sentence and how often it goes on; an unpunctuated answer
-that ends in a word that always goes on, or in the torn head of a longer word,
-was cut.
+that ends in a word that hardly ever ends a sentence, or in the torn head of a
+longer word, was cut.
 
 Plan: one Arrow pass emits word counts aggregated in each batch, a shuffle sums
 them, and each unpunctuated answer is joined with the counts of its own last
@@ -27,7 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import runs
@@ -80,6 +80,8 @@ DANGLING = set(
 OPEN_MARK = set(",;:-–—(/&+=“„«¿¡")
 #: Words from which an answer's end is judged by how its last word goes on elsewhere; shorter answers may be fragments.
 LONG = 7
+#: A word or pair goes on if the Wilson lower bound (of so many deviations) of its share of ends is under this share.
+END_SHARE, DEVIATIONS = 0.02, 1.0
 PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 END_MARK = set(".!?।。…")
 
@@ -239,6 +241,14 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("faq_id"), pa.array(defects, pa.list_(pa.string())), pa.array(last, pa.string()), pa.array(pair, pa.string()), pa.array(sizes, pa.int32())], names=["faq_id", "defects", "last_word", "last_pair", "words"])
 
 
+def hardly_ends(ends: Column, on: Column) -> Column:
+    """Seen going on three times at least, with a share of ends that the counts don't show to be above END_SHARE."""
+    n, z = F.greatest(ends + on, F.lit(1)), DEVIATIONS
+    share = ends / n
+    low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return (on >= 3) & ((ends == 0) | (low < END_SHARE))
+
+
 def defects(faqs: DataFrame) -> DataFrame:
     """(faq_id, defects): each defective pair with every defect that its rules found, in the order of DEFECTS."""
     rows = faqs.select(F.col("id").cast("bigint").alias("faq_id"), "question", "answer")
@@ -247,7 +257,7 @@ def defects(faqs: DataFrame) -> DataFrame:
     looked = judged.filter("last_word is not null").select("row", F.posexplode(F.array("last_word", "last_pair")).alias("n", "gram"))
     seen = looked.join(counts, "gram", "left").groupBy("row").pivot("n", [0, 1]).agg(F.first("ends").alias("ends"), F.first("goes_on").alias("on"))
     w_ends, w_on, p_ends, p_on = (F.coalesce(c, F.lit(0)) for c in ("0_ends", "0_on", "1_ends", "1_on"))
-    goes_on = ((w_ends == 0) & (w_on >= 3)) | ((p_ends == 0) & (p_on >= 3) & (w_ends * 4 < w_on))
+    goes_on = hardly_ends(w_ends, w_on) | (hardly_ends(p_ends, p_on) & (w_ends * 4 < w_on))
     judged_words = seen.join(judged.filter("last_word is not null").select("row", "last_word", "words"), "row")
     heads = counts.filter("instr(gram, ' ') = 0 and length(gram) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda n: F.substring("gram", F.lit(1), n))).alias("last_word")).distinct()
     torn = judged_words.filter((w_ends == 0) & (w_on == 0)).join(heads, "last_word", "left_semi").select("row")

@@ -168,6 +168,13 @@ def test_pairs(spark):
     assert pr.defects(faqs.limit(0)).count() == 0
 
 
+def test_one_end_does_not_clear_a_cut_answer(spark):
+    rows = [(n, "What?", BASE * 3 + f"Number {n}.") for n in range(40)]
+    rows += [(100, "What?", "The other map is renewed."), (200, "How often?", "The archive holds maps of the sea, and every map is renewed"), (201, "How often?", "The archive holds maps of the sea and every map is renewed each week after the pass")]
+    faqs = spark.createDataFrame(rows, "id long, question string, answer string")
+    assert [(r.faq_id, r.defect) for r in pr.main_defects(pr.defects(faqs)).collect()] == [(200, "truncated_answer")]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=80), st.text(max_size=200))
 def test_pair_rules_never_fail(q, a):
