@@ -181,30 +181,47 @@ def test_pair_rules_never_fail(q, a):
     pr.is_empty(a), pr.is_copy(q, a), pr.is_refusal(q, a), pr.is_other_language(q, a), pr.open_end(q, a)
 
 
-USUAL = set("’‘“”–—…°±µéèàâñóíáúüöäß")
+CHARS = en.Characters({c: 50 for c in "’‘“”«»–—…°±µéèàâñóíáúüöäßÅÃÂãçÇÓáÁ½"} | {c: 1 for c in "Яʼ"})
 
 
 @pytest.mark.parametrize("codec", ["cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250"])
 def test_wrong_reading_is_found_and_undone(codec):
-    for word in ("10 °C", "café", "l’été", "Größe – Maß"):
+    for word in ("10°C", "café", "l’été", "Größe–Maß"):
         read = "".join(chr(b) if b < 128 else en.BACK[codec][b] for b in word.encode())
-        assert en.evidence(read, USUAL)[0] > 0
-        assert en.restored_text(read, USUAL, 3) == word
+        assert en.solve(read, 1, 1, [], CHARS)[0] == word
 
 
 def test_double_reading():
-    read = "l’été 10 °C".encode().decode("cp1252").encode().decode("cp1252")
-    assert en.restored_text(read, USUAL, 3) == "l’été 10 °C"
+    read = "l’été–10°C".encode().decode("cp1252").encode().decode("cp1252")
+    assert en.solve(read, 1, 1, [], CHARS)[0] == "l’été–10°C"
 
 
-@pytest.mark.parametrize("text", ["ESTAÇÃO DE LAGUÃO", "ÂNGELIM – CÃIS", "Янка and Στάθμη", "5577 Å and the ½-hour", "Some see Ã© where é should be, or â€™ for a quote", "“Quoted” – ±5 °C…", "plain"])
+def test_long_runs_are_searched_whole():
+    for word in ("é" * 40, "«" + "ñ" * 30 + "»x", "a" * 90 + "é"):
+        read = word.encode().decode("cp1252")
+        assert en.solve(en.core(read), 1, 1, [], CHARS)[0] == word
+    half = "Яʼ" + "é".encode().decode("cp1252") + "Яʼ"
+    assert en.solve(half, 1, 1, [], CHARS) == ("ЯʼéЯʼ", True)
+
+
+@pytest.mark.parametrize("text", ["ESTAÇÃO DE LAGUÃO", "ÂNGELIM – CÃIS", "Янка and Στάθμη", "5577 Å and the ½-hour", "Some see Ã© where é should be, or â€™ for a quote", "“Quoted” – ±5 °C…", "plain", "„MENÜ“"])
 def test_proper_text_is_no_evidence(text):
-    assert en.evidence(text, USUAL)[0] == 0
+    assert not any((en.solve(en.core(t), 1, 1, [], CHARS) or ("", False))[1] for t in en.TOKEN.findall(text))
 
 
 def test_viterbi_fills_lost_bytes():
-    assert en.viterbi("caf�", {}, USUAL) == "caf�"
-    assert en.viterbi("cafÃ�", {"café": 50}, USUAL) == "café"
+    assert en.viterbi("caf�", {"cafés": 3.0}) is None
+    assert en.viterbi("caf�", {"café": 3.0, "cafè": 1.0})[1] == "café"
+    assert en.viterbi("cafÃ�", {"café": 3.0, "cafè": 1.0})[1] == "café"
+    assert en.viterbi("Ãtat", {"État": 3.0})[1] == "État"
+    assert en.solve("caf�", 1, 1, [], CHARS) == ("caf�", True) and en.solve("�", 1, 1, [], CHARS) is None
+
+
+def test_word_frequencies_decide():
+    words = [("enregistrées", 40, 40), ("enregistrês", 3, 3)]
+    assert en.solve("enregistrÈes", 1, 1, words, CHARS) == ("enregistrées", True)
+    assert en.solve("enregistrÈes", 20, 20, words, CHARS) is None
+    assert {"enregistrÈes", "enregistr�es", "enregistr��es"} <= en.images("enregistrées")
 
 
 def test_garbled(spark):
