@@ -116,8 +116,8 @@ def image(word: str, wrote: str, read: str | None) -> str | None:
 def images(word: str) -> set[str]:
     """The forms under which tokens that are garbled forms of word are looked up."""
     out = {image(word, wrote, read) for wrote, read in CHANNELS if read}
-    if re.search("[A-Za-z0-9]", word):
-        # without any letter left, a word can't be told from others of its length
+    if len(word) == 1 or re.search("[A-Za-z0-9]", word):
+        # without any letter left, a longer word can't be told from all others of its length
         out |= {re.sub(r"[^\x00-\x7f]", LOST, word), re.sub(r"[^\x00-\x7f]", lambda m: LOST * len(m[0].encode("utf-8", "replace")), word)}
     return {x for x in out if x and x != word}
 
