@@ -8,11 +8,17 @@ pair of words, ends a sentence and how often it goes on; an unpunctuated answer
 that ends in a word that hardly ever ends a sentence, or in the torn head of a
 longer word, was cut.
 
-Plan: one Arrow pass emits word counts aggregated in each batch, a shuffle sums
-them, and each unpunctuated answer is joined with the counts of its own last
-words; no vocabulary is sent to the driver or to the tasks. The join's left side
-is one row an answer with an open end, so a last word that many answers share
-makes a hot key only there, and the counts' side has one row a word.
+Plan: one Arrow pass judges each pair and is written once, with hashes of the last
+word and pair of words where the corpus must decide. A second pass, over different
+answers, finds words, sentence ends and heads of words in numpy over the batch's
+bytes and emits counts by hash, summed in the batch; a shuffle sums them. The asked
+hashes alone are joined with the counts; no vocabulary is sent to the driver or to
+the tasks. A last word that many answers share is one row on the counts' side.
+
+Short answers are no cases when they lack a full stop (a definition of the
+problem): by the corpus' counts only answers of LONG words or more are cut, and
+torn heads are looked for from SENTENCE words on; marks of a cut and open brackets
+count at any length.
 
 Cases: a null, blank or filler answer is empty whatever the question; with a
 null or blank question only the rules on the answer apply; copies of a pair are
@@ -21,16 +27,20 @@ flagged each by itself; a null id comes out as null; an empty table gives no row
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs
+from .common import BYTE_VALUES, WORD_BYTES, Rolling, materialize, mixed, raw, runs, slices, strings
 
 DEFECTS = ("empty_answer", "copied_question", "refusal", "wrong_language", "truncated_answer")
 
@@ -78,8 +88,8 @@ DANGLING = set(
     " और या का के की को में से पर एक यह जो कि तो ने तथा".split()
 )
 OPEN_MARK = set(",;:-–—(/&+=“„«¿¡")
-#: Words from which an answer's end is judged by how its last word goes on elsewhere; shorter answers may be fragments.
-LONG = 7
+#: Words from which an answer is a sentence, and words from which its end is judged by how its last word goes on elsewhere; shorter answers may be fragments.
+SENTENCE, LONG = 4, 7
 #: A word or pair goes on if the Wilson lower bound (of so many deviations) of its share of ends is under this share.
 END_SHARE, DEVIATIONS = 0.02, 1.0
 PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
@@ -88,157 +98,252 @@ END_MARK = set(".!?।。…")
 WORD = re.compile(r"[^\W_]+(?:[ऀ-ॣ०-ॿ‌‍]|[’'\-.](?=\w)|[^\W_])*")
 
 
-def plain(text: str | None) -> str:
-    """text without tags, entities and invisible characters, with single spaces."""
-    text = re.sub(r"<[^<>]{0,200}>", " ", html.unescape(text or ""))
-    return " ".join(re.sub(r"[​-‏⁠﻿­]", "", text).split())
+_TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
+_HIDDEN = re.compile(r"[\u200b-\u200f\u202a-\u202e\u2060\ufeff\xad]")
 
 
-def tokens(text: str) -> list[str]:
-    return [re.sub(r"\d+", "0", w.lower()) for w in WORD.findall(text)]
+def plain(text: str | None) -> str:
+    """text without tags, entities and invisible characters, with single spaces."""
+    text = text or ""
+    if "&" in text:
+        text = html.unescape(text)
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    return " ".join((text if text.isascii() else _HIDDEN.sub("", text)).split())
+
+
+def _filler(text: str) -> bool:
+    flat = " ".join(re.sub(r"\W+", " ", text.lower()).split())
+    # a filler of marks and letters is at most twice as long as its words
+    if len(flat) > 2 * max(map(len, FILLERS)):
+        return False
+    return flat in FILLERS or (words := " ".join(WORD.findall(text.lower()))) in FILLERS or not words
 
 
 def is_empty(answer: str | None) -> bool:
-    text = plain(answer)
-    words = " ".join(WORD.findall(text.lower()))
-    return not words or words in FILLERS or " ".join(re.sub(r"\W+", " ", text.lower()).split()) in FILLERS
+    return _filler(plain(answer))
 
 
 def _strict(text: str) -> list[str]:
     return re.findall(r"[^\W_ऀ-ॿ]+|[ऀ-ॿ]+", text.lower().replace("’", "'"))
 
 
-def is_copy(question: str, answer: str) -> bool:
-    """The answer is the question once or more, with labels at most."""
-    q, a = _strict(plain(question)), _strict(plain(answer))
-    if not q or len(a) < len(q):
-        return False
-    rest, i, found = [], 0, 0
-    while i < len(a):
-        if a[i : i + len(q)] == q:
-            found, i = found + 1, i + len(q)
-        else:
-            rest.append(a[i])
-            i += 1
-    return found > 0 and all(w in LABEL_WORDS for w in rest)
-
-
-def without_lead(question: str, answer: str) -> str:
-    """answer without a label and a repetition of the question before it."""
-    text = LABEL.sub("", plain(answer))
-    q = plain(question)
-    if q and text.lower().lstrip("\"“«„").startswith(q.lower()):
-        text = text.lstrip("\"“«„")[len(q) :].lstrip(" \"”»“.:–-")
-    return text
-
-
-def is_refusal(question: str, answer: str) -> bool:
-    text = without_lead(question, answer)
-    said = [s for s in re.split(r"(?<=[.!?।])\s+", text) if s.strip()]
-    if not any(r.search(s) for s in said[:2] for r in REFUSALS):
-        return False
-    other = [s for s in said if not any(r.search(s) for r in REFUSALS) and not COURTESY.search(s)]
-    return sum(len(WORD.findall(s)) for s in other) <= 5
+#: Signs of which each refusal holds one, looked for before the patterns.
+SIGNS = ("not", "n't", "n’t", "cant", "wont", "couldnt", "unable", "refus", "declin", "no ", "any ", " ne ", "imposs", "aucune", "nicht", "keine", "नहीं", "असमर्थ")
 
 
 def script_of(text: str) -> str:
     """deva, latn or '': the script of most of the letters that are not in names or codes."""
-    deva = len(re.findall(r"[ऄ-हक़-ॡ]", text))
-    latin = len(re.findall(r"\b[a-zà-öø-ÿœß]{2,}\b", text))
-    return "deva" if deva and deva >= 2 * latin else "latn" if latin and not deva else ""
+    deva = 0 if text.isascii() else len(re.findall(r"[ऄ-हक़-ॡ]", text))
+    latin = len(re.findall(r"\b[a-zà-öø-ÿœß]{2,}\b", text)) if deva else 1
+    return "deva" if deva and deva >= 2 * latin else "latn" if not deva and re.search(r"\b[a-zà-öø-ÿœß]{2,}\b", text) else ""
+
+
+_LETTERS = (("fr", frozenset("èêëîïôûùœç")), ("es", frozenset("ñ¿¡íóúá")), ("de", frozenset("äöüß")))
 
 
 def language_of(text: str) -> str:
     """hi, en, fr, es, de, or '' if the text doesn't show it."""
-    if script_of(text) == "deva":
-        return "hi"
-    if re.search(r"[ऄ-ह]", text):
-        return ""
+    if not text.isascii():
+        if script_of(text) == "deva":
+            return "hi"
+        if re.search(r"[ऄ-ह]", text):
+            return ""
+    low = text.lower()
     score: Counter[str] = Counter()
-    for w in re.findall(r"[a-zà-öø-ÿœß]+", text.lower()):
-        for lang in OWNERS.get(w, ()):
-            score[lang] += 1 / len(OWNERS[w])
-    for lang, letters in (("fr", "èêëîïôûùœç"), ("es", "ñ¿¡íóúá"), ("de", "äöüß")):
-        score[lang] += 0.7 * min(3, sum(c in letters for c in text.lower()))
+    for w in re.findall(r"[a-zà-öø-ÿœß]+", low):
+        owners = OWNERS.get(w)
+        if owners:
+            for lang in owners:
+                score[lang] += 1 / len(owners)
+    if not low.isascii():
+        for lang, letters in _LETTERS:
+            score[lang] += 0.7 * min(3, sum(c in letters for c in low))
     best = score.most_common(2)
     if not best or best[0][1] < 1.3 or len(best) > 1 and best[0][1] < 1.5 * best[1][1]:
         return ""
     return best[0][0]
 
 
-def is_other_language(question: str, answer: str) -> bool:
-    body = without_lead(question, answer)
-    q, a = language_of(plain(question)), language_of(body)
-    return bool(q and a and q != a)
-
-
-def open_end(question: str, answer: str) -> tuple[bool, str, str]:
-    """(certainly cut, last word, pair of last words); the words are '' if the end doesn't need the corpus' counts."""
-    text = without_lead(question, answer)
-    if not text or is_copy(question, answer):
-        return False, "", ""
-    words = tokens(text)
-    if not words:
-        return False, "", ""
-    if CUT_MARK.search(text) and len(words) > 1:
-        return True, "", ""
-    last = text.rstrip("\"'”»)]")
-    if not last:
-        return False, "", ""
-    if last[-1] in OPEN_MARK:
-        return True, "", ""
-    if any(text.count(o) > text.count(c) for c, o in PAIRS.items()):
-        return True, "", ""
-    if last[-1] in END_MARK or re.search(r"\S*(?:://|www\.|@)\S*$", text):
-        return False, "", ""
-    if words[-1] in DANGLING and len(words) > 1:
-        return True, "", ""
-    if len(words) < 4:
-        return False, "", ""
-    return False, words[-1], " ".join(words[-2:])
-
-
-def ending_counts(texts: Iterator[str]) -> tuple[Counter, Counter]:
-    """How often each word or pair of words ends a sentence, and how often it goes on."""
-    ends: Counter[str] = Counter()
-    on: Counter[str] = Counter()
-    for text in texts:
-        text = CUT_MARK.sub("", plain(text))
-        for said in re.split(r"(?<=[.!?।])\s+", text):
-            words = tokens(said)
-            closed = said.rstrip("\"'”»)]")[-1:] in END_MARK and bool(said)
-            for i, w in enumerate(words):
-                keys = (w, f"{words[i - 1]} {w}") if i else (w,)
-                if i < len(words) - 1:
-                    on.update(keys)
-                elif closed:
-                    ends.update(keys)
-    return ends, on
+class Question:
+    """What the rules need of a question."""
+
+    def __init__(self, text: str | None):
+        self.text = plain(text)
+        self.strict = _strict(self.text)
+        self.language = language_of(self.text)
+
+
+#: The questions looked at last, as many pairs ask the same.
+question_of = functools.lru_cache(maxsize=20_000)(Question)
+
+
+class Pair:
+    """A question and its answer, with the rules on them."""
+
+    def __init__(self, question: str | None, answer: str | None):
+        self.question = question_of(question)
+        self.answer = plain(answer)
+        #: The answer without a label and a repetition of the question before it.
+        self.body = LABEL.sub("", self.answer)
+        q = self.question.text
+        if q and (bare := self.body.lstrip("\"“«„"))[: 2 * len(q)].lower().startswith(q.lower()):
+            self.body = bare[len(q) :].lstrip(" \"”»“.:–-")
+
+    def is_copy(self) -> bool:
+        """The answer is the question once or more, with labels at most."""
+        q = self.question.strict
+        a = _strict(self.answer) if q and q[0] in self.answer.lower().replace("’", "'") else ()
+        if not q or len(a) < len(q):
+            return False
+        i, found = 0, 0
+        while i < len(a):
+            if a[i : i + len(q)] == q:
+                found, i = found + 1, i + len(q)
+            elif a[i] not in LABEL_WORDS:
+                return False
+            else:
+                i += 1
+        return found > 0
+
+    def is_refusal(self) -> bool:
+        low = self.body.lower()
+        if not any(s in low for s in SIGNS):
+            return False
+        said = [s for s in re.split(r"(?<=[.!?।])\s+", self.body) if s.strip()]
+        refused = [any(r.search(s) for r in REFUSALS) for s in said]
+        if not any(refused):
+            return False
+        return sum(len(WORD.findall(s)) for s, r in zip(said, refused) if not r and not COURTESY.search(s)) <= 5
+
+    def is_other_language(self) -> bool:
+        q = self.question.language
+        return bool(q and (a := language_of(self.body)) and q != a)
+
+    def open_end(self, copied: bool) -> tuple[bool, bool]:
+        """(certainly cut, the corpus' counts must decide)."""
+        text = self.body
+        if not text or copied:
+            return False, False
+        last = text.rstrip("\"'”»)]")
+        cut = CUT_MARK.search(text)
+        if not cut and last and last[-1] in END_MARK and not any(text.count(o) > text.count(c) for c, o in PAIRS.items()):
+            return False, False
+        words = WORD.findall(text)
+        if not words:
+            return False, False
+        if cut and len(words) > 1:
+            return True, False
+        if not last:
+            return False, False
+        if last[-1] in OPEN_MARK or any(text.count(o) > text.count(c) for c, o in PAIRS.items()):
+            return True, False
+        if last[-1] in END_MARK or re.search(r"\S*(?:://|www\.|@)\S*$", text):
+            return False, False
+        if words[-1].lower() in DANGLING and len(words) > 1:
+            return True, False
+        return False, len(words) >= SENTENCE
+
+    def defects(self) -> tuple[list[str], bool]:
+        """(defects that the pair itself shows, its end must be judged by the corpus)."""
+        if _filler(self.answer):
+            return ["empty_answer"], False
+        copied = self.is_copy()
+        cut, asked = self.open_end(copied)
+        hits = (False, copied, self.is_refusal(), self.is_other_language(), cut)
+        return [d for d, hit in zip(DEFECTS, hits) if hit], asked
+
+
+# ---- words and ends of sentences, by hash
+
+
+def _signs(texts: pa.Array) -> pa.Array:
+    """texts in lower case, without a mark of a cut, without what closes a quote or bracket, runs of digits as one digit, full stops in one form."""
+    texts = pc.utf8_lower(texts)
+    for old, new in ((CUT_MARK.pattern, ""), (r"\.\.\.+|…", " "), (r"[\"'“”„«»‘’()\[\]]", ""), (r"[।。]", "."), (r"[0-9]+", "0"), (r"[–—·•→]", " ")):
+        texts = pc.replace_substring_regex(texts, old, new)
+    return texts
+
+
+def words_and_ends(texts: pa.Array) -> dict[str, np.ndarray]:
+    """Of each word: row, word (its hash), start and end in the bytes, pair (hash with the word before it in its sentence, else 0), ends (1: it ends a sentence, 0: it goes on, -1: an open end)."""
+    data, bounds = raw(_signs(texts))
+    inside = WORD_BYTES[data]
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    first = np.zeros(len(data) + 1, bool)
+    first[bounds[:-1]] = True
+    first = first[: len(data)]
+    last = np.append(first[1:], True)[: len(data)]
+    start = inside & (first | ~np.append(False, inside[:-1])[: len(data)])
+    end = inside & (last | ~np.append(inside[1:], False)[: len(data)])
+    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    rolling = Rolling(BYTE_VALUES[data])
+    word = mixed(rolling.of(s, e) + (e - s).astype(np.uint64))
+    of = row[s] if len(s) else np.empty(0, np.int64)
+    # a word ends a sentence if a full stop follows, and then a space or the text's end
+    padded = np.append(data, [10, 10]).astype(np.uint8)
+    stop = np.isin(padded[e], np.frombuffer(b".!?", np.uint8)) & (of == row[np.minimum(e, len(data) - 1)] if len(data) else False)
+    after = e + 1
+    tail = after >= bounds[of + 1] if len(of) else np.empty(0, bool)
+    ends = stop & (tail | (padded[np.minimum(after, len(data))] <= 32))
+    final = np.append(of[1:] != of[:-1], True) if len(of) else np.empty(0, bool)
+    begins = np.append(True, (of[1:] != of[:-1]) | ends[:-1]) if len(of) else np.empty(0, bool)
+    pair = np.where(begins, np.uint64(0), mixed(np.append(np.uint64(0), word[:-1])[: len(word)] * np.uint64(3) + word))
+    return {"row": of, "word": word, "start": s, "end": e, "pair": pair, "ends": np.where(ends, 1, np.where(final, -1, 0)), "rolling": rolling}
+
+
+def _summed(keys: list[np.ndarray], values: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return every, [np.bincount(at, np.concatenate(v), len(every)).astype(np.int64) for v in zip(*values)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, ends, goes_on, heads): counts of words and pairs by hash, and the heads of longer words."""
     for batch in batches:
-        ends, on = ending_counts(x for x in batch.column("answer").to_pylist() if x)
-        keys = list(ends.keys() | on.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([on[k] for k in keys], pa.int64())], names=["gram", "ends", "goes_on"])
+        for part in slices(batch, "answer"):
+            w = words_and_ends(strings(part.column("answer")))
+            if not len(w["word"]):
+                continue
+            ends, on = (w["ends"] == 1).astype(float), (w["ends"] == 0).astype(float)
+            two = w["pair"] != 0
+            # each different word's heads, of all lengths in bytes
+            _, once = np.unique(w["word"], return_index=True)
+            s, n = w["start"][once], w["end"][once] - w["start"][once] - 1
+            begin = np.repeat(s, n)
+            size = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+            heads = np.unique(mixed(w["rolling"].of(begin, begin + size) + size.astype(np.uint64)))
+            none, one = np.zeros(len(heads)), np.ones(len(heads))
+            zero = np.zeros(len(ends))
+            keys, (e, o, h) = _summed([w["word"], w["pair"][two], heads], [[ends, on, zero], [ends[two], on[two], zero[two]], [none, none, one]])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(e), pa.array(o), pa.array(np.minimum(h, 1))], names=["gram", "ends", "goes_on", "heads"])
+
+
+JUDGED = "row long, faq_id long, defects array<string>, last_word long, last_pair long, words int"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in runs(batches):
-        defects, last, pair, sizes = [], [], [], []
-        for q, a in zip(batch.column("question").to_pylist(), batch.column("answer").to_pylist()):
-            q, size = q or "", 0
-            if is_empty(a):
-                got, word, two = ["empty_answer"], "", ""
-            else:
-                cut, word, two = open_end(q, a)
-                size = len(tokens(a))
-                got = [d for d, hit in zip(DEFECTS, (False, is_copy(q, a), is_refusal(q, a), is_other_language(q, a), cut)) if hit]
+    # a number for each row, as ids may be null or repeated; the result is written before it is used
+    at = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+    for batch in runs(batches, 2_000):
+        defects, open_, bodies = [], [], []
+        for k, (q, a) in enumerate(zip(batch.column("question").to_pylist(), batch.column("answer").to_pylist())):
+            pair = Pair(q, a)
+            got, asked = pair.defects()
             defects.append(got)
-            last.append(word or None)
-            pair.append(two or None)
-            sizes.append(size)
-        yield pa.RecordBatch.from_arrays([batch.column("faq_id"), pa.array(defects, pa.list_(pa.string())), pa.array(last, pa.string()), pa.array(pair, pa.string()), pa.array(sizes, pa.int32())], names=["faq_id", "defects", "last_word", "last_pair", "words"])
+            if asked:
+                open_.append(k)
+                bodies.append(pair.body)
+        n = batch.num_rows
+        word, two, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32)
+        if bodies:
+            w = words_and_ends(pa.array(bodies, pa.large_string()))
+            of = np.array(open_)[w["row"]]
+            final = np.append(of[1:] != of[:-1], True) if len(of) else np.empty(0, bool)
+            word[of[final]], two[of[final]] = w["word"][final].view(np.int64), w["pair"][final].view(np.int64)
+            sizes = np.bincount(of, minlength=n).astype(np.int32)
+        nothing = word == 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + at), batch.column("faq_id"), pa.array(defects, pa.list_(pa.string())), pa.array(word, mask=nothing), pa.array(two, mask=nothing), pa.array(sizes)], names=["row", "faq_id", "defects", "last_word", "last_pair", "words"])
+        at += n
 
 
 def hardly_ends(ends: Column, on: Column) -> Column:
@@ -252,16 +357,19 @@ def hardly_ends(ends: Column, on: Column) -> Column:
 def defects(faqs: DataFrame) -> DataFrame:
     """(faq_id, defects): each defective pair with every defect that its rules found, in the order of DEFECTS."""
     rows = faqs.select(F.col("id").cast("bigint").alias("faq_id"), "question", "answer")
-    counts = rows.select("answer").distinct().mapInArrow(_count, "gram string, ends long, goes_on long").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
-    judged = rows.mapInArrow(_judge, "faq_id long, defects array<string>, last_word string, last_pair string, words int").withColumn("row", F.monotonically_increasing_id())
-    looked = judged.filter("last_word is not null").select("row", F.posexplode(F.array("last_word", "last_pair")).alias("n", "gram"))
-    seen = looked.join(counts, "gram", "left").groupBy("row").pivot("n", [0, 1]).agg(F.first("ends").alias("ends"), F.first("goes_on").alias("on"))
-    w_ends, w_on, p_ends, p_on = (F.coalesce(c, F.lit(0)) for c in ("0_ends", "0_on", "1_ends", "1_on"))
+    judged = materialize(rows.mapInArrow(_judge, JUDGED))
+    counts = rows.select("answer").filter("answer <> ''").distinct().mapInArrow(_count, "gram long, ends long, goes_on long, heads long").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("on"), F.max("heads").alias("heads"))
+    asked = judged.filter("last_word is not null")
+    looked = asked.select("row", "words", F.posexplode(F.array("last_word", "last_pair")).alias("n", "gram"))
+
+    def of(n: int, c: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}_{n}")
+
+    seen = looked.join(counts, "gram", "left").groupBy("row", "words").agg(*(of(n, c) for n in (0, 1) for c in ("ends", "on", "heads")))
+    w_ends, w_on, p_ends, p_on = (F.col(c) for c in ("ends_0", "on_0", "ends_1", "on_1"))
     goes_on = hardly_ends(w_ends, w_on) | (hardly_ends(p_ends, p_on) & (w_ends * 4 < w_on))
-    judged_words = seen.join(judged.filter("last_word is not null").select("row", "last_word", "words"), "row")
-    heads = counts.filter("instr(gram, ' ') = 0 and length(gram) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda n: F.substring("gram", F.lit(1), n))).alias("last_word")).distinct()
-    torn = judged_words.filter((w_ends == 0) & (w_on == 0)).join(heads, "last_word", "left_semi").select("row")
-    cut = torn.unionByName(judged_words.filter(goes_on & (F.col("words") >= LONG)).select("row")).withColumn("cut", F.lit(True))
+    torn = (w_ends == 0) & (w_on == 0) & (F.col("heads_0") > 0)
+    cut = seen.filter(torn | goes_on & (F.col("words") >= LONG)).select("row", F.lit(True).alias("cut"))
     every = F.when(F.col("cut"), F.concat("defects", F.array(F.lit("truncated_answer")))).otherwise(F.col("defects"))
     return judged.join(cut, "row", "left").select("faq_id", every.alias("defects")).filter(F.size("defects") > 0)
 

@@ -178,7 +178,19 @@ def test_one_end_does_not_clear_a_cut_answer(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=80), st.text(max_size=200))
 def test_pair_rules_never_fail(q, a):
-    pr.is_empty(a), pr.is_copy(q, a), pr.is_refusal(q, a), pr.is_other_language(q, a), pr.open_end(q, a)
+    pr.is_empty(a), pr.Pair(q, a).defects()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab .!?\n0'”é।", max_size=40), max_size=6))
+def test_words_and_ends(texts):
+    w = pr.words_and_ends(pa.array(texts, pa.large_string()))
+    want = []
+    for i, t in enumerate(pr._signs(pa.array(texts, pa.large_string())).to_pylist()):
+        found = list(re.finditer(r"[a-z0-9]+|[^\x00-\x7f]+", t)) and list(re.finditer(r"(?:[a-z0-9]|[^\x00-\x7f])+", t))
+        want += [(i, m[0], 1 if re.match(r"[.!?](\s|$)", t[m.end() :]) else -1 if m is found[-1] else 0) for m in found]
+    assert [(r, e) for r, e in zip(w["row"], w["ends"])] == [(r, e) for r, _, e in want]
+    assert len(set(w["word"].tolist())) == len({x for _, x, _ in want})
 
 
 CHARS = en.Characters({c: 50 for c in "’‘“”«»–—…°±µéèàâñóíáúüöäßÅÃÂãçÇÓáÁ½"} | {c: 1 for c in "Яʼ"})
