@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -168,6 +169,59 @@ def test_copies_of_a_scan_are_judged_alike(spark):
     assert got == {(100 + i, n) for i in range(60) for n in (1, 2)}
 
 
+def test_vectors_tell_contexts_apart():
+    # hut and but share a key; the vectors tell which of them goes with the words around
+    rng = random.Random(9)
+    crops, rooms = [f"crop{i}" for i in range(40)], [f"room{i}" for i in range(40)]
+    lines = [" ".join((*rng.choices(crops, k=3), "but", *rng.choices(crops, k=3))) for _ in range(6000)]
+    lines += [" ".join((*rng.choices(rooms, k=3), "tent", *rng.choices(rooms, k=3))) for _ in range(6000)]
+    texts = pa.array(lines, pa.large_string())
+    words, row = sc._hashed(texts)
+    model = sc.Vectors(np.bincount(words, minlength=sc.BUCKETS))
+    for _ in range(3):
+        model.learn(words, row, np.random.default_rng(1))
+    mean = (model.share[:, None] * model.context).sum(0)
+
+    def odds(word: str, near: list[str]) -> float:
+        return float(model.own[sc.buckets([word])[0]] @ (model.context[sc.buckets(near)] - mean).sum(0))
+
+    assert odds("but", crops[:6]) > 1 > -0.5 > odds("but", rooms[:6])
+    assert sc.glyph_key("hut") == sc.glyph_key("but")
+
+
+def score(n: int, often: int, times: int, own: list[float], sums: list[float], odd: bool = False) -> float:
+    row = {"term": ["t"], "original": ["o"], "n": [n], "often": [often], "odd": [odd], "bucket": [0], "times": [times], **{c: [x] for c, x in zip(sc._SUMS, sums)}}
+    vectors = np.zeros((sc.BUCKETS, sc.SIZE))
+    vectors[0] = own
+    return next(sc._scored(vectors)(iter([pa.RecordBatch.from_pydict(row)]))).column("score")[0].as_py()
+
+
+def test_context_outweighs_frequency():
+    v, zero = [1.0] * sc.SIZE, [0.0] * sc.SIZE
+    least = float(np.log(sc.FAVOUR))
+    assert score(10, 150, 1, v, zero) > least > score(10, 150, 1, v, [-0.5] * sc.SIZE)
+    assert score(10, 40, 1, v, zero) < least < score(10, 40, 1, v, [0.5] * sc.SIZE)
+    assert score(10, 40, 1, v, zero, odd=True) > least
+
+
+def test_chain_is_the_longest():
+    rng = random.Random(3)
+    for _ in range(200):
+        at = sorted(rng.sample(range(60), 12))
+        v = {i: rng.randint(1, 6) for i in at}
+        best = {}
+        for n, i in enumerate(at):
+            best[i] = 1 + max((best[j] for j in at[:n] if 1 <= v[i] - v[j] <= 2 and i - j >= 5), default=0)
+        chain = sc._chain(at, v, 5)
+        assert len(chain) == max(best.values()) and all(1 <= v[b] - v[a] <= 2 and b - a >= 5 for a, b in zip(chain, chain[1:]))
+
+
+def test_long_unbroken_lines(spark):
+    files = spark.createDataFrame([(1, "x" * 200_000 + "-\n" + "y" * 200_000), (2, "\n".join(str(i) for i in range(20_000)))], "id long, extracted_text string")
+    assert sc.scan_noise(files).count() >= 0
+    assert sc.roman("xliv") == 44 and sc.roman("mix") == 1009 and sc.roman("vx") == 0 and sc.roman("") == 0
+
+
 def test_page_numbers():
     lines = ["Text of the first page that goes on", *["line of text"] * 9, "101", *["line of text"] * 9, "lO2", *["more text here"] * 9, "103"]
     assert sc.borders(lines)[0] == {10, 20, 30}
@@ -177,7 +231,8 @@ def test_page_numbers():
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="ab -\n\x0c12.lO", max_size=200))
 def test_scan_files_never_fail(text):
-    f = sc.File(text, {"ab": "ba"}, {"abba": 9}, set())
+    numbers, heads = sc.borders(text.split("\n"))
+    f = sc.File(text, numbers, set(heads), {"ab": "ba"}, {"abba": 9})
     f.noise(), f.paragraphs()
 
 
