@@ -10,10 +10,10 @@ verdict follows from its segments: bad lines make up most of the body's
 characters (the title's line aside), or a placeholder's window is bad and the
 placeholder's syntax, checked exactly, is there.
 
-The fit uses at most 2 * SAMPLE_PAGES pages: one sample of all, one of pages with
-a phrase or an error status, both in the order of a hash of the id; every page is
-scored. ``validate`` fits on some sites and reports the agreement with the weak
-labels on the others.
+The fit uses at most 3 * SAMPLE_PAGES pages: one sample of all, one of pages with
+a phrase or an error status, one of pages with signs of placeholders, each in the order of a hash of the id; every page is
+scored. ``validate`` leaves out each site in turn, fits on the others and reports the
+agreement with the weak labels on it.
 
 Cases: pages with a null, empty or blank body are no cases; a null title gives no
 title features; a null status is no error; copies get the same verdict; very long
@@ -169,8 +169,9 @@ def _sample(bodies: DataFrame) -> list[tuple[int, str, list, str | None, int | N
         return df.filter(part < min(1.0, 1.3 * SAMPLE_PAGES / max(1, ids)) * (1 << 30)).orderBy(part, "page_id").limit(SAMPLE_PAGES)
 
     odd = rows.filter((F.col("status_code") >= 400) | (F.length("text") < 1000) & F.col("text").rlike(r"(?i)lorem|script|not found|error|placeholder|sample|\{\{|%%|\$\{|\[\[|unavailable|tbd|request id|oops|sorry"))
-    both = some(rows).unionByName(some(odd))
-    return [(r["site"], r["text"], r["noise"], r["title"], r["status_code"]) for r in both.toLocalIterator()]
+    signs = rows.filter(F.col("text").rlike(r"\{\{|\{%|[$#]!?\{|<%|%%|@@|__|\[\[|\[\w+:|(?i)\[insert | here\]|<<|\?(?:php|=)|\{[a-z]"))
+    every = some(rows).unionByName(some(odd)).unionByName(some(signs))
+    return [(r["site"], r["text"], r["noise"], r["title"], r["status_code"]) for r in every.toLocalIterator()]
 
 
 def _taught(sample: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -198,17 +199,22 @@ def train(bodies: DataFrame) -> np.ndarray:
     return fit(row, at, labels)
 
 
-def validate(bodies: DataFrame) -> dict[str, float]:
-    """Fit on the sites with an even rank by their hash, and report the agreement with the weak labels on the others."""
+def validate(bodies: DataFrame, folds: int = 10) -> dict[str, float]:
+    """Leave out each site in turn (or, of more sites than folds, each group of sites by their hash), fit on the others, and report the agreement with the weak labels on the ones left out."""
     row, at, labels, sites = _taught(_sample(bodies))
-    names = np.unique(sites)
-    seen = np.isin(sites, names[::2])
-    index = np.cumsum(seen) - 1
-    w = fit(index[row[seen[row]]], at[seen[row]], labels[seen])
-    bad = scores(w, row, at, len(labels)) > 0
-    y = labels > 0
-    hit = (bad & y & ~seen).sum()
-    return {"sites": len(names), "segments": int((~seen).sum()), "precision": hit / max(1, (bad & ~seen).sum()), "recall": hit / max(1, (y & ~seen).sum())}
+    names, of = np.unique(sites, return_inverse=True)
+    fold = of % folds
+    hit = found = true = scored = 0
+    for k in range(min(folds, len(names))):
+        seen = fold != k
+        index = np.cumsum(seen) - 1
+        w = fit(index[row[seen[row]]], at[seen[row]], labels[seen])
+        bad, y = scores(w, row, at, len(labels)) > 0, labels > 0
+        hit += (bad & y & ~seen).sum()
+        found += (bad & ~seen).sum()
+        true += (y & ~seen).sum()
+        scored += (~seen).sum()
+    return {"sites": len(names), "segments": int(scored), "precision": hit / max(1, found), "recall": hit / max(1, true)}
 
 
 def judge(w: np.ndarray, pages: list[tuple[str | None, list | None, str | None]]) -> list[bool]:

@@ -55,7 +55,7 @@ LEAST_FAVOUR, ODD = 3, 20
 #: Weight of the context's odds, and the most that they count to both sides, as a logarithm.
 TRUST, MOST_ODDS = 0.5, 4.0
 #: Vectors, their size, words on each side, negative samples that a batch of BATCH pairs shares, their weight against one pair, the learning rate, and the share of words above which a word is sampled.
-BUCKETS, SIZE, WINDOW, NEGATIVES, WEIGHT, BATCH, RATE, SAMPLED = 1 << 15, 16, 3, 64, 3.0, 4096, 0.1, 1e-3
+BUCKETS, SIZE, WINDOW, NEGATIVES, WEIGHT, BATCH, RATE, SAMPLED = 1 << 15, 16, 3, 64, 3.0, 4096, 0.1, 3e-4
 #: Bits of the bitmap of linked words.
 BITS = 1 << 20
 #: Lines between two page borders at least, and files in which a form must recur to count as a header's form.

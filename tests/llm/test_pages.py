@@ -50,15 +50,17 @@ def bodies(pages):
 
 
 def test_dom_lines():
-    lines = mb.dom_lines('<body><div class="a1f2c"><p>One<p>Two <b>x</b><aside>N</aside></div><table><tr><td>a</td><td>b</td></tr></table><script>no</script>&amp; end')
+    lines, parents = mb.dom_lines('<body><div class="a1f2c"><p>One<p>Two <b>x</b><aside>N</aside></div><table><tr><td>a</td><td>b</td></tr></table><script>no</script>&amp; end')
     assert [(a, b) for _, a, b in lines] == [("p", "One"), ("p", "Two x"), ("", "N"), ("tr", "a | b"), ("", "& end")]
-    assert lines[0][0] == "body>div.a" and lines[2][0] == "body>div.a>aside"
+    assert parents[lines[2][0]] == lines[0][0] and parents[lines[0][0]] == mb.place(0, "body")
+    again, _ = mb.dom_lines('<body><div class="a7d3e">x</div>')
+    assert again[0][0] == lines[0][0]
 
 
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="<>/divplitrtd=\"' \nabc&;", max_size=200), st.text(alphabet="abc \n", max_size=60))
 def test_dom_never_fails(markup, text):
-    dom = mb.dom_lines(markup)
+    dom, _ = mb.dom_lines(markup)
     assert len(mb.aligned(text, dom)) == text.count("\n") + 1
 
 
