@@ -1,14 +1,18 @@
 """Statistics of each page's text, and what kind of text its main body is.
 
-Thresholds on a line's statistics are noisy labelling functions: each votes for
-one kind (prose, list, table, junk) or abstains. How often each fires on lines of
-each kind is learned by expectation-maximization from their agreements alone, and
-each line gets the posterior over the kinds. A page's finding is the kind that
-holds more than half of its main body's characters.
+Thresholds on statistics are noisy labelling functions: those of a line (its share of
+symbols and of common words, the length of its words, its end, its marks), and those of the document that
+it stands in (the five statistics of the result). Each votes for one kind (prose, list,
+table, junk) or abstains. How often each fires on lines of each kind is learned by
+expectation-maximization from their agreements alone, and each line gets the
+posterior over the kinds. A page's posterior is the mean of its main body's lines,
+weighted by their characters, that is the share of each kind that is expected. Its
+kind is the one that is likeliest on lines with more than half of the characters, else the
+one whose expected share is more than half.
 
 Which functions fire on a line is a mask of len(FUNCTIONS) bits, so the lines of
-any corpus fall into at most 2 ** len(FUNCTIONS) = 16,384 patterns: EM runs over
-the patterns' counts, gathered from all lines, and the posteriors are a table of
+any corpus fall into at most 2 ** len(FUNCTIONS) = 524,288 patterns: EM runs over
+the counts of the patterns that occur, gathered from all lines, and the posteriors are a table of
 that bounded size.
 
 Plan: one Arrow pass a page emits the statistics and (mask, characters) pairs,
@@ -16,8 +20,8 @@ summed within the page; counts by mask are aggregated with partial sums; the
 posterior table is joined by broadcast, by the bound above.
 
 Cases: a null text has null statistics and no finding; an empty text has 0 words;
-blank lines and noise lines are not judged; a page on which no kind has more than
-half of the characters has none of the three findings; copies are judged each;
+blank lines and noise lines are not judged; a page on which no kind is expected on more than
+half of the characters, or without any line to judge, has no kind; copies are judged each;
 an empty table gives no rows.
 """
 
@@ -29,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +41,7 @@ from .common import materialize, runs
 from .pairs import STOPWORDS
 
 KINDS = ("prose", "list", "table", "junk")
-#: The labelling functions and the kind that each votes for.
+#: The labelling functions and the kinds that each votes for.
 FUNCTIONS = (
     ("bullet", "list"),
     ("enumerator", "list"),
@@ -52,7 +57,14 @@ FUNCTIONS = (
     ("common_words", "prose"),
     ("sentence_shape", "prose"),
     ("short_line", "list"),
+    ("page_of_few_common_words", "list table junk"),
+    ("page_of_symbols", "list table junk"),
+    ("page_of_long_words", "list table junk"),
+    ("page_of_sentence_ends", "prose"),
+    ("page_of_few_ends", "list table junk"),
 )
+#: Weight of a vote on the document's statistics, which all its lines share, against one on the line.
+SHARED = 0.2
 COMMON = frozenset(w for words in STOPWORDS.values() for w in words) | set("का के की है हैं में से पर को ने और एक यह नहीं तक लिए गया रही जाता करें हर वर्ष बाद होते सकते".split())
 
 BULLET = re.compile(r"\s*(?:[•◦▪‣●○■□–—*+·-]|&bull;)\s+(?=[\w“\"'(\[])")
@@ -135,39 +147,56 @@ def statistics(text: str) -> dict[str, float]:
     }
 
 
+#: The first bit of the functions on the document's statistics.
+_PAGE = next(i for i, (name, _) in enumerate(FUNCTIONS) if name.startswith("page_"))
+
+
+def page_mask(stats: dict[str, float]) -> int:
+    """The functions that fire on a document's statistics, as bits of the mask of each of its lines."""
+    if not stats["words"]:
+        return 0
+    ends = stats["line_end_share"]
+    fires = (stats["common_word_share"] < 0.08, stats["symbol_ratio"] > 0.12, stats["mean_word_length"] > 8, ends >= 0.4, ends < 0.15)
+    return sum(x << (_PAGE + i) for i, x in enumerate(fires))
+
+
 def learn(counts: dict[int, int], rounds: int = 40) -> np.ndarray:
-    """The posterior over KINDS of each mask, by EM over the counts of all masks."""
+    """The posterior over KINDS of each mask of counts, in their order, by EM over the counts of all masks."""
     k, f = len(KINDS), len(FUNCTIONS)
-    masks = np.arange(1 << f)
+    masks, n = np.array(list(counts), np.int64), np.array(list(counts.values()), float)
     votes = (masks[:, None] >> np.arange(f)) & 1
-    n = np.zeros(len(masks))
-    for m, c in counts.items():
-        n[m] = c
-    own = np.array([[kind == KINDS[j] for j in range(k)] for _, kind in FUNCTIONS])
+    own = np.array([[KINDS[j] in kinds.split() for j in range(k)] for _, kinds in FUNCTIONS])
     # where each function starts, and the weight of that start against the counts: functions fire on their own kind
     start = np.where(own, 0.5, 0.03)
+    weight = np.array([[SHARED if name.startswith("page_") else 1.0] for name, _ in FUNCTIONS])
     strength = 0.05 * max(1.0, n.sum()) / k
     rate, prior = start.copy(), np.array([0.7, 0.1, 0.1, 0.1])
     post = np.empty((len(masks), k))
     for _ in range(rounds):
-        logp = np.log(prior) + votes @ np.log(rate) + (1 - votes) @ np.log(1 - rate)
+        logp = np.log(prior) + votes @ (weight * np.log(rate)) + (1 - votes) @ (weight * np.log(1 - rate))
         post = np.exp(logp - logp.max(axis=1, keepdims=True))
         post /= post.sum(axis=1, keepdims=True)
         w = n[:, None] * post
         total = w.sum(axis=0)
         prior = (total + 0.02 * n.sum() + 1) / (total + 0.02 * n.sum() + 1).sum()
-        rate = (votes.T @ w + strength * start) / (total + strength)
+        fired, seen = votes.T @ w + strength * start, np.broadcast_to(total + strength, own.shape).copy()
+        # a function that votes for several kinds has one rate on them, as it can't tell them apart
+        several = np.flatnonzero(own.sum(axis=1) > 1)
+        for x in (fired, seen):
+            x[several] = np.where(own[several], (x[several] * own[several]).sum(axis=1, keepdims=True), x[several])
+        rate = fired / seen
         rate = np.clip(rate, 1e-4, 1 - 1e-4)
     return post
 
 
 _STATS = "words bigint, mean_word_length double, symbol_ratio double, line_end_share double, common_word_share double"
-MEASURED = f"page_id long, {_STATS}, body bigint, masks array<struct<mask:int,lines:int,chars:int>>"
+_NAMES = [x.split()[0] for x in _STATS.split(", ")]
+MEASURED = f"row long, page_id long, {_STATS}, body bigint, masks array<struct<mask:int,lines:int,chars:int>>"
 _MASK = pa.struct([("mask", pa.int32()), ("lines", pa.int32()), ("chars", pa.int32())])
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _STATS.split(", ")]
+    row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
     for batch in runs(batches):
         stats, bodies, masks = [], [], []
         for text, noise in zip(batch.column("text").to_pylist(), batch.column("noise").to_pylist()):
@@ -175,17 +204,19 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stats.append({}), bodies.append(0), masks.append([])
                 continue
             stats.append(statistics(text))
+            whole = page_mask(stats[-1])
             lines: Counter[int] = Counter()
             chars: Counter[int] = Counter()
             for line, gone in zip(text.split("\n"), noise):
                 if gone is False and line.strip():
-                    m = mask(line)
+                    m = mask(line) | whole
                     lines[m] += 1
                     chars[m] += len(line.strip())
             bodies.append(sum(chars.values()))
             masks.append([{"mask": m, "lines": lines[m], "chars": chars[m]} for m in lines])
-        columns = [pa.array([s.get(x) for s in stats], pa.int64() if x == "words" else pa.float64()) for x in names]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), *columns, pa.array(bodies, pa.int64()), pa.array(masks, pa.list_(_MASK))], names=["page_id", *names, "body", "masks"])
+        columns = [pa.array([s.get(x) for s in stats], pa.int64() if x == "words" else pa.float64()) for x in _NAMES]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(stats)) + row), batch.column("page_id"), *columns, pa.array(bodies, pa.int64()), pa.array(masks, pa.list_(_MASK))], names=["row", "page_id", *_NAMES, "body", "masks"])
+        row += len(stats)
 
 
 def measured(bodies: DataFrame) -> DataFrame:
@@ -194,16 +225,19 @@ def measured(bodies: DataFrame) -> DataFrame:
 
 
 def page_types(measure: DataFrame) -> DataFrame:
-    """(page_id, statistics, kind): kind is the one that holds more than half of the main body's characters, or null."""
+    """(page_id, statistics, a posterior for each of KINDS, kind): kind is the one that holds more than half of the main body, or null."""
     spark = measure.sparkSession
-    lines = measure.select("page_id", "body", F.explode("masks").alias("x")).select("page_id", "body", "x.*")
     # at most 2 ** len(FUNCTIONS) rows
-    counts = {r["mask"]: r["n"] for r in lines.groupBy("mask").agg(F.sum("lines").alias("n")).collect()}
+    counts = {r["mask"]: r["n"] for r in measure.select(F.explode("masks").alias("x")).groupBy("x.mask").agg(F.sum("x.lines").alias("n")).collect()}
     post = learn(counts)
-    table = spark.createDataFrame([(m, KINDS[int(post[m].argmax())]) for m in counts], "mask int, kind string")
-    shares = lines.join(F.broadcast(table), "mask").groupBy("page_id", "body", "kind").agg(F.sum("chars").alias("chars"))
-    kinds = shares.filter(F.col("chars") * 2 > F.col("body")).select("page_id", "kind")
-    return measure.select("page_id", *(x.split()[0] for x in _STATS.split(", "))).join(kinds, "page_id", "left")
+    table = spark.createDataFrame([(m, KINDS[int(p.argmax())], *map(float, p)) for m, p in zip(counts, post)], "mask int, likeliest string, " + ", ".join(f"{k} double" for k in KINDS))
+    # pages are told apart by a number, as ids may be null or repeated
+    lines = measure.select("row", "body", F.explode("masks").alias("x")).select("row", "body", "x.*").join(F.broadcast(table), "mask")
+    expected = ((F.sum(F.col(k) * F.col("chars")) / F.max("body")).alias(k) for k in KINDS)
+    counted = ((F.sum(F.when(F.col("likeliest") == k, F.col("chars")).otherwise(0)) / F.max("body")).alias(f"counted_{k}") for k in KINDS)
+    shares = lines.groupBy("row").agg(*expected, *counted)
+    kind = F.coalesce(*(F.when(F.col(c + k) > 0.5, F.lit(k)) for c in ("counted_", "") for k in KINDS))
+    return measure.select("row", "page_id", *_NAMES).join(shares.select("row", *KINDS, kind.alias("kind")), "row", "left").drop("row")
 
 
 def findings(pages: DataFrame, types: DataFrame, residue: DataFrame) -> DataFrame:
