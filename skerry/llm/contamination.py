@@ -4,17 +4,22 @@ Each batch of documents is a shard. Its words (runs of letters and digits,
 without case and accents) become 64-bit hashes, a suffix array over them is
 built by prefix doubling to a depth of at least min_words, and each suffix of
 each test item is searched in it by bisection, all at once in numpy. Equal
-ranges give the documents and places; from the places each match is extended
-word by word to its full length.
+ranges give the places; of these only the matches that can't be extended to the left are
+kept, as each other is part of one, and their full length is found by bisection over
+hashes of runs of words. The longest match of each document and item comes out with
+where it begins in both.
 
 Plan: one scan of the corpus without a shuffle of texts; hits alone are
 aggregated to one row a pair. The test items travel to the tasks with the code,
-in blocks of at most MAX_BLOCK_WORDS words (each block is one more scan), so
-what is sent has a fixed bound however many items there are.
+in blocks of at most MAX_BLOCK_WORDS words, read one at a time, so that neither the
+driver nor a task holds more however many items there are. If there is a second
+block, the shards are written with their arrays at the first, and all blocks search
+those; each block's hits are written before the next block is read. Places are
+expanded in runs of MAX_PLACES, so repeated phrases take time, not memory.
 
 Cases: null or empty texts hold nothing; an item with fewer than min_words words
 can't be found; copies of a document are found each by itself, copies of an item
-each under its own id; extra columns are ignored; an empty table gives no rows.
+each under its own id; rows with null ids are left out; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +33,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, raw, slices, strings, word_hashes
+from .common import WORD_BYTES, Rolling, materialize, raw, slices, strings, word_hashes
 
 MIN_WORDS = 13
-MAX_BLOCK_WORDS = 2_000_000
+MAX_BLOCK_WORDS, MAX_PLACES = 2_000_000, 1 << 20
 #: Bytes of text in one shard: a few hundred thousand words, some 50 MB of arrays.
 SHARD_BYTES = 3_000_000
 
@@ -122,79 +127,158 @@ def find(tokens: np.ndarray, array: np.ndarray, queries: np.ndarray) -> tuple[np
     return bounds[0], bounds[1]
 
 
-def longest_matches(texts: pa.Array, items: np.ndarray, item_of: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, item, words) of the longest match of each pair in one shard. items: hashes of all items' words, a 0 after each item; item_of: its number at each."""
-    none = np.empty(0, np.int64)
-    h, row = words(texts)
-    if len(h) < min_words:
-        return none, none, none
-    gap = np.flatnonzero(row[1:] != row[:-1]) + 1
-    h, row = np.insert(h, gap, 0), np.insert(row, gap, -1)
-    array = suffix_array(h, min_words)
-    tokens = np.concatenate((h, np.zeros(min_words, np.uint64)))
-    suffixes = np.arange(len(items) - min_words + 1)
-    zeros = np.cumsum(np.concatenate(([0], items == 0)))
-    suffixes = suffixes[zeros[suffixes + min_words] == zeros[suffixes]]
-    if not len(suffixes):
-        return none, none, none
-    lo, hi = find(tokens, array, items[suffixes[:, None] + np.arange(min_words)])
-    hit = np.flatnonzero(hi > lo)
-    n = (hi - lo)[hit]
-    place = array[np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    begin = np.repeat(suffixes[hit], n)
-    length = np.full(len(place), min_words, np.int64)
-    live = np.arange(len(place))
-    while len(live):
-        a, b = place[live] + length[live], begin[live] + length[live]
-        ok = (a < len(h)) & (b < len(items))
-        ok[ok] &= (h[a[ok]] == items[b[ok]]) & (items[b[ok]] != 0)
-        live = live[ok]
-        length[live] += 1
-    return row[place], item_of[begin], length
+class Shard:
+    """The words of some texts, a 0 between two texts, with their suffix array."""
 
+    def __init__(self, tokens: np.ndarray, row: np.ndarray, array: np.ndarray):
+        self.tokens, self.row, self.array = tokens, row, array
 
-def contaminated(corpus: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, item_id, match_words) of each document that holds min_words consecutive words of an item, with the longest run."""
-    spark = corpus.sparkSession
-    rows = corpus.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null")
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    hashes: list[np.ndarray] = []
-    ids: list[int] = []
-    tests = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null")
+    @classmethod
+    def of(cls, texts: pa.Array, depth: int) -> Shard:
+        h, row = words(texts)
+        gap = np.flatnonzero(row[1:] != row[:-1]) + 1
+        h, row = np.insert(h, gap, 0), np.insert(row, gap, -1)
+        return cls(h, row, suffix_array(h, depth) if len(h) >= depth else np.empty(0, np.int64))
+
+
+class Items:
+    """A block of test items: the hashes of all items' words, a 0 after each, and the item of each."""
+
+    def __init__(self, hashes: list[np.ndarray], ids: list[int], min_words: int):
+        self.tokens = np.concatenate([x for a in hashes for x in (a, np.zeros(1, np.uint64))])
+        self.of = np.repeat(np.arange(len(hashes)), [len(a) + 1 for a in hashes])
+        self.ids, self.min_words = np.array(ids), min_words
+        self.ends = np.cumsum([len(a) + 1 for a in hashes]) - 1
+        self.starts = self.ends - np.array([len(a) for a in hashes])
+
+    def suffixes(self) -> np.ndarray:
+        """Where min_words words or more of an item follow."""
+        at = np.arange(len(self.tokens))
+        return at[at + self.min_words <= self.ends[self.of]]
 
-    def close() -> None:
-        h = np.concatenate([x for a in hashes for x in (a, np.zeros(1, np.uint64))])
-        blocks.append((h, np.repeat(np.arange(len(hashes)), [len(a) + 1 for a in hashes]), np.array(ids)))
-        hashes.clear()
-        ids.clear()
 
+_KEYS = ("row", "item", "words", "doc_at", "item_at")
+
+
+def _longest(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The longest match of each row and item, the first of equals."""
+    order = np.lexsort((found["item_at"], found["doc_at"], -found["words"], found["item"], found["row"]))
+    f = {k: v[order] for k, v in found.items()}
+    first = np.append(True, (f["row"][1:] != f["row"][:-1]) | (f["item"][1:] != f["item"][:-1]))[: len(order)]
+    return {k: v[first] for k, v in f.items()}
+
+
+def longest_matches(shard: Shard, items: Items) -> dict[str, np.ndarray]:
+    """row, item, words, doc_at and item_at (words before the match) of the longest match of each pair in one shard."""
+    best = {k: np.empty(0, np.int64) for k in _KEYS}
+    suffixes, least = items.suffixes(), items.min_words
+    if not len(shard.array) or not len(suffixes):
+        return best
+    tokens = np.concatenate((shard.tokens, np.zeros(least, np.uint64)))
+    lo, hi = find(tokens, shard.array, items.tokens[suffixes[:, None] + np.arange(least)])
+    hit = np.flatnonzero(hi > lo)
+    if not len(hit):
+        return best
+    begins, lo, n = suffixes[hit], lo[hit], (hi - lo)[hit]
+    upto = np.concatenate(([0], np.cumsum(n)))
+    texts, tests = Rolling(shard.tokens), Rolling(items.tokens)
+    # where each text begins and ends
+    edge = np.flatnonzero(np.concatenate(([True], shard.tokens == 0, [True])))
+    for a in range(0, int(upto[-1]), MAX_PLACES):
+        flat = np.arange(a, min(a + MAX_PLACES, int(upto[-1])))
+        which = np.searchsorted(upto, flat, "right") - 1
+        place, begin = shard.array[lo[which] + flat - upto[which]], begins[which]
+        left = np.where(place > 0, shard.tokens[np.maximum(place, 1) - 1], 0)
+        asked = np.where(begin > 0, items.tokens[np.maximum(begin, 1) - 1], 0)
+        whole = (left != asked) | (left == 0)
+        place, begin = place[whole], begin[whole]
+        k = np.searchsorted(edge, place, "right")
+        most = np.minimum(edge[k] - 1 - place, items.ends[items.of[begin]] - begin)
+        size, beyond = np.full(len(place), least, np.int64), most + 1
+        while (live := beyond - size > 1).any():
+            middle = np.where(live, (size + beyond) // 2, size)
+            same = texts.of(place, place + middle) == tests.of(begin, begin + middle)
+            size, beyond = np.where(live & same, middle, size), np.where(live & ~same, middle, beyond)
+        fresh = {"row": shard.row[place], "item": items.of[begin], "words": size, "doc_at": place - edge[k - 1], "item_at": begin - items.starts[items.of[begin]]}
+        best = _longest({key: np.concatenate((best[key], fresh[key])) for key in _KEYS})
+    return best
+
+
+def _blocks(items: DataFrame, min_words: int) -> Iterator[Items]:
+    """The test items in blocks, one on the driver at a time."""
+    hashes: list[np.ndarray] = []
+    ids: list[int] = []
+    tests = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null and item_id is not null")
     for item in tests.toLocalIterator():
         h, _ = words(pa.array([item["text"]], pa.large_string()))
-        if len(h) >= min_words and item["item_id"] is not None:
-            hashes.append(h)
-            ids.append(item["item_id"])
-        if sum(map(len, hashes)) > MAX_BLOCK_WORDS:
-            close()
+        if len(h) < min_words:
+            continue
+        if hashes and sum(map(len, hashes)) + len(h) > MAX_BLOCK_WORDS:
+            yield Items(hashes, ids, min_words)
+            hashes, ids = [], []
+        hashes.append(h)
+        ids.append(item["item_id"])
     if hashes:
-        close()
-    schema = "doc_id long, item_id long, match_words long"
-    if not blocks:
-        return spark.createDataFrame([], schema)
-
-    def search(block: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            h, item_of, names = block
-            for batch in batches:
-                for part in slices(batch, "text", SHARD_BYTES):
-                    row, item, length = longest_matches(strings(part.column("text")), h, item_of, min_words)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(names[item].astype(np.int64)), pa.array(length)], names=["doc_id", "item_id", "match_words"])
-
-        return rows.mapInArrow(task, schema)
-
-    found = search(blocks[0])
-    for block in blocks[1:]:
-        found = found.unionByName(search(block))
-    return found.groupBy("doc_id", "item_id").agg(F.max("match_words").alias("match_words"))
+        yield Items(hashes, ids, min_words)
+
+
+SHARD = "docs array<long>, tokens binary, row binary, places binary"
+
+
+def _shards(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[pa.Array, Shard]]:
+    for batch in batches:
+        for part in slices(batch, "text", SHARD_BYTES):
+            yield part.column("doc_id"), Shard.of(strings(part.column("text")), depth)
+
+
+def _written(depth: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, s in _shards(batches, depth):
+            parts = [pa.array([x.tobytes()], pa.binary()) for x in (s.tokens, s.row.astype(np.int64), s.array.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([docs.to_pylist()], pa.list_(pa.int64())), *parts], names=["docs", "tokens", "row", "places"])
+
+    return task
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Shard]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            t, r, p = (np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in (("tokens", np.uint64), ("row", np.int64), ("places", np.int64)))
+            yield batch.column("docs")[k].values, Shard(t, r, p)
+
+
+FOUND = "doc_id long, item_id long, match_words long, doc_at long, item_at long"
+
+
+def _search(block: Items, written: bool):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, shard in _read(batches) if written else _shards(batches, block.min_words):
+            m = longest_matches(shard, block)
+            yield pa.RecordBatch.from_arrays([docs.take(pa.array(m["row"])), pa.array(block.ids[m["item"]].astype(np.int64)), *(pa.array(m[k]) for k in ("words", "doc_at", "item_at"))], names=["doc_id", "item_id", "match_words", "doc_at", "item_at"])
+
+    return task
+
+
+def contaminated(corpus: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, item_id, match_words, doc_at, item_at) of each document that holds min_words consecutive words of an item: the longest run, and the words before it in both."""
+    rows = corpus.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text <> ''")
+    blocks = _blocks(items, min_words)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return corpus.sparkSession.createDataFrame([], FOUND)
+    if second is None:
+        found = rows.mapInArrow(_search(first, False), FOUND)
+    else:
+        shards = materialize(rows.mapInArrow(_written(min_words), SHARD))
+        found = materialize(shards.mapInArrow(_search(first, True), FOUND))
+        del first
+        while second is not None:
+            found = found.unionByName(materialize(shards.mapInArrow(_search(second, True), FOUND)))
+            second = next(blocks, None)
+    # a document's rows are one shard's, but ids may repeat
+    place = F.struct("match_words", -F.col("doc_at"), -F.col("item_at"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("match_words", "doc_at", "item_at"), place).alias("m"))
+    return best.select("doc_id", "item_id", "m.*")
 
 
 def decontaminated(corpus: DataFrame, found: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ place, fitted on a bounded sample of at most SAMPLE_PAGES pages that the tree
 labelled.
 
 Plan: one Arrow pass parses each page and writes, once, its lines' node and key
-hashes beside the text; all later steps read that table, and only the last reads its texts. The tree is
+hashes beside the text; all later steps read that table without its texts, which are joined with the verdicts once, at the end. The tree is
 JVM aggregation over hashes (partial aggregates in each task, so a site with a third
 of the pages is no hot key). Verdicts reach the pages by joins of hashes on (site, node) and
 (site, line), salted, as one node of one site can stand on a third of all pages; they
@@ -197,12 +197,14 @@ def number(text: str) -> int:
 #: The node of what stands in no container.
 PAGE = number("")
 
-_digits = str.maketrans("123456789", "000000000", " \t\r\f\v\xa0")
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
 
-def key_of(line: str) -> str:
-    """A line without case, spaces and the values of its digits."""
-    return line.lower().translate(_digits)
+def key_of(line: str) -> int:
+    """A hash of a line without case, spaces and the values of its digits."""
+    data = line.lower().encode("utf-8", "replace")
+    data = data if data.isascii() else data.replace(b"\xc2\xa0", b"")
+    return xxhash.xxh64_intdigest(data.translate(_DIGITS, b" \t\r\f\v")) >> 1 or 1
 
 
 def bare(line: str) -> str:
@@ -271,7 +273,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # the page itself is a node too
             nodes.append([dom[i][0] or PAGE if i >= 0 else 0 if i == -2 else -1 for i in at])
             lines = text.split("\n")
-            key = [number(key_of(x)) if i != -2 else 0 for x, i in zip(lines, at)]
+            key = [key_of(x) if i != -2 else 0 for x, i in zip(lines, at)]
             keys.append(key)
             sizes.append([len(x) for x in lines])
             seen: dict[int, list[str]] = {}
@@ -409,7 +411,7 @@ def _resolve(w: np.ndarray):
 
 
 def main_bodies(pages: DataFrame, least: float = LEAST) -> DataFrame:
-    """(page_id, site, title, status_code, text, noise) of each page; noise has for each line true, false, or null if blank."""
+    """(row, page_id, site, title, status_code, text, noise) of each page, written once; row numbers the pages, noise has for each line true, false, or null if blank."""
     parse = parsed(pages)
     verdicts = with_verdicts(parse, least)
     # a range of the row's hash holds the sample, so that tasks needn't send SAMPLE_PAGES texts each
@@ -424,8 +426,8 @@ def main_bodies(pages: DataFrame, least: float = LEAST) -> DataFrame:
         labels += [bool(v) for x, v in zip(lines, r["noise"]) if x.strip()]
     w = fit(rows, np.asarray(labels, float))
     rest = verdicts.filter("unsure").select("row", "noise").join(texts, "row").mapInArrow(_resolve(w), "row long, noise array<boolean>")
-    noise = materialize(verdicts.filter("not unsure").select("row", "noise").unionByName(rest))
-    return parse.select("row", "page_id", "site", "title", "status_code", "text").join(noise, "row").drop("row")
+    noise = verdicts.filter("not unsure").select("row", "noise").unionByName(rest)
+    return materialize(parse.select("row", "page_id", "site", "title", "status_code", "text").join(noise, "row"))
 
 
 def noise_lines(bodies: DataFrame) -> DataFrame:

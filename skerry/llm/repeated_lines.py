@@ -1,13 +1,12 @@
 """Lines repeated across one site's pages: found by content-defined chunks, then cut out.
 
-Each text is read as one stream of bytes in lower case without spaces and tabs
-and with runs of digits as one digit. A rolling hash over a window of that
-stream sets the cuts (content-defined chunking), and the end of a line is a cut
-too, because the result is wanted in lines: a line is one chunk or several, the
-same ones wherever it stands, and a text without line ends still falls into
-chunks. Pages are counted for each chunk of each site; a line of which all
+Each text is read as one stream of bytes in lower case without spaces, tabs and line
+ends and with runs of digits as one digit. A rolling hash over a window of WINDOW bytes of that
+stream sets the cuts, wherever lines end (content-defined chunking). Lines are mapped to
+chunks after: a chunk whose two cuts were set by bytes of one line alone is that line's, and
+the same wherever the line stands. Pages are counted for each chunk of each site; a line of which all
 chunks are repeated is a candidate, and an exact count of the whole line's hash
-decides.
+decides. A line that holds no chunk of its own, because it is short, counts as one chunk.
 
 Plan: two scans of the text column. The first emits counts aggregated in each
 batch, so that a site or chunk that holds a third of the rows arrives as a few
@@ -17,8 +16,8 @@ broadcasts it if its measured size allows, and joins by shuffle otherwise.
 
 Cases: a null or empty text has no lines; blank lines are counted in line_no but
 never found; copied rows count as pages of their own; null urls form one site;
-a page with a null id is counted and found as null; empty tables give empty
-results; other columns of the input are ignored.
+a page with a null id is counted and found as null; a text without line ends is one
+line; empty tables give empty results; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +34,12 @@ from pyspark.sql import functions as F
 from .common import BYTE_VALUES, Rolling, mixed, raw, site_of, slices, strings
 
 #: Bytes of the rolling window, and the mask whose zero is a cut: chunks of 32 bytes on average.
-WINDOW, MASK = 12, np.uint64(31)
+WINDOW, MASK = 8, np.uint64(31)
 MIN_PAGES, MIN_SHARE = 3, 0.1
 
 
 def chunked(texts: pa.Array) -> dict[str, np.ndarray]:
-    """Of each chunk: row, line_no, line (hash of its line), units (chunks of that line) and unit (its own hash)."""
+    """Of each line's chunks: row, line_no, line (hash of its line), units (chunks of that line) and unit (its own hash)."""
     data, bounds = raw(pc.utf8_lower(texts))
     none = np.empty(0, np.int64)
     if not len(data):
@@ -54,20 +53,21 @@ def chunked(texts: pa.Array) -> dict[str, np.ndarray]:
     kept = np.flatnonzero(~(newline | (data == 32) | (data == 9) | follows))
     if not len(kept):
         return {"row": none, "line_no": none, "line": none, "units": none, "unit": none}
-    values = BYTE_VALUES[np.where(digit, 48, data)[kept]]
+    rolling = Rolling(BYTE_VALUES[np.where(digit, 48, data)[kept]])
     line = (before + row)[kept]
     starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     ends = np.append(starts[1:], len(kept))
-    rolling = Rolling(values)
-    cut = np.zeros(len(kept), bool)
-    if len(kept) >= WINDOW:
-        at = np.arange(WINDOW, len(kept) + 1)
-        inside = np.repeat(starts, ends - starts)[WINDOW - 1 :] <= at - WINDOW
-        cut[WINDOW - 1 :] = inside & (mixed(rolling.of(at - WINDOW, at)) & MASK == 0)
-    cut[ends - 1] = True
-    to = np.flatnonzero(cut) + 1
-    frm = np.concatenate(([0], to[:-1]))
-    of = np.searchsorted(starts, frm, "right") - 1
+    # the cuts of the stream, by content alone
+    at = np.arange(WINDOW, len(kept) + 1)
+    cuts = at[mixed(rolling.of(at - WINDOW, at)) & MASK == 0]
+    # chunks between cuts whose windows lie within one line
+    frm, to = cuts[:-1], cuts[1:]
+    of = np.searchsorted(starts, frm, "right") - 1 if len(frm) else none
+    own = (frm - WINDOW >= starts[of]) & (to <= ends[of]) if len(frm) else np.empty(0, bool)
+    frm, to, of = frm[own], to[own], of[own]
+    # lines without a chunk are one
+    alone = np.flatnonzero(np.bincount(of, minlength=len(starts)) == 0)
+    frm, to, of = np.concatenate((frm, starts[alone])), np.concatenate((to, ends[alone])), np.concatenate((of, alone))
     whole = mixed(rolling.of(starts, ends) + (ends - starts).astype(np.uint64)).view(np.int64)
     first = kept[starts]
     return {

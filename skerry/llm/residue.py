@@ -160,17 +160,21 @@ def scores(w: np.ndarray, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray
     return np.bincount(row, w[at], n) / np.sqrt(np.maximum(1, np.bincount(row, minlength=n))) + w[-1]
 
 
+#: Signs of which each placeholder holds one.
+SIGNS = ("{", "%%", "@@", "__", "[[", "<<", "<%", "?php", "?=", " here]", " HERE]", "[node:", "[site:", "[user:", "[field:", "[term:", "[page:", "[current-")
+
+
 def _sample(bodies: DataFrame) -> list[tuple[int, str, list, str | None, int | None]]:
-    rows = bodies.select("page_id", "site", "title", "text", "noise", "status_code").filter("text is not null")
-    # a range of the hash holds the sample, so that tasks needn't send SAMPLE_PAGES texts each
-    def some(df: DataFrame) -> DataFrame:
-        ids = df.count()
-        part = F.pmod(F.xxhash64("page_id", F.lit(7)), F.lit(1 << 30))
-        return df.filter(part < min(1.0, 1.3 * SAMPLE_PAGES / max(1, ids)) * (1 << 30)).orderBy(part, "page_id").limit(SAMPLE_PAGES)
-
-    odd = rows.filter((F.col("status_code") >= 400) | (F.length("text") < 1000) & F.col("text").rlike(r"(?i)lorem|script|not found|error|placeholder|sample|\{\{|%%|\$\{|\[\[|unavailable|tbd|request id|oops|sorry"))
-    signs = rows.filter(F.col("text").rlike(r"\{\{|\{%|[$#]!?\{|<%|%%|@@|__|\[\[|\[\w+:|(?i)\[insert | here\]|<<|\?(?:php|=)|\{[a-z]"))
-    every = some(rows).unionByName(some(odd)).unionByName(some(signs))
+    rows = bodies.filter("text is not null")
+    part = F.pmod(F.xxhash64("page_id", F.lit(7)), F.lit(1 << 30)).alias("part")
+    odd = (F.col("status_code") >= 400) | (F.length("text") < 1000) & F.col("text").rlike(r"(?i)lorem|script|not found|error|placeholder|sample|\{\{|%%|\$\{|\[\[|unavailable|tbd|request id|oops|sorry")
+    signs = F.lit(False)
+    for sign in SIGNS:
+        signs = signs | F.contains("text", F.lit(sign))
+    # numbers alone are chosen; the texts of the chosen come in one more scan, by a join with at most 3 * SAMPLE_PAGES rows
+    chosen = [rows.filter(c).select(part, "row").orderBy("part", "row").limit(SAMPLE_PAGES).select("row") for c in (F.lit(True), odd, signs)]
+    ids = chosen[0].unionByName(chosen[1]).unionByName(chosen[2])
+    every = rows.join(F.broadcast(ids), "row").select("site", "text", "noise", "title", "status_code")
     return [(r["site"], r["text"], r["noise"], r["title"], r["status_code"]) for r in every.toLocalIterator()]
 
 

@@ -9,7 +9,9 @@ the overlap: the last characters before it.
 Cases: lengths are Unicode characters after spaces, tabs and line ends are
 removed from both ends; a null or short text is not cut; a text without any
 boundary is cut at midpoints, but not before a combining mark; keys may be null
-or repeated, each row is cut by itself; empty tables give empty results. Plan:
+or repeated, each row is cut by itself; a limit of null or below 1 limits nothing, an
+overlap of null or below 0 counts as 0, one of the limit or more as the limit less 1;
+empty tables give empty results. Plan:
 one scan, no shuffle; the limits table is broadcast, it holds one row an item kind.
 """
 
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Boundaries, the strongest first; the cut stands after the match.
 BOUNDARIES = [re.compile(x) for x in (r"\n[ \t\r]*\n\s*", r"\n\s*", r"[.!?।。…][\"'”’»)\]]*\s+", r"[,;:)–—]\s+", r"\s+")]
 
@@ -68,19 +72,20 @@ def trimmed(text: Column) -> Column:
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["item_kind", "item_key", "piece_no", "start_at", "piece"]
     for batch in batches:
-        for row in batch.to_pylist():
-            text, over = row["text"], row["overlap_chars"]
-            cut = spans(text, row["max_chars"], over)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row["item_kind"]] * len(cut), pa.string()),
-                    pa.array([row["item_key"]] * len(cut), pa.string()),
-                    pa.array(range(1, len(cut) + 1), pa.int32()),
-                    pa.array([max(0, s - over) for s, _ in cut], pa.int32()),
-                    pa.array([text[max(0, s - over) : e] for s, e in cut], pa.string()),
-                ],
-                names=names,
-            )
+        # a text and its pieces at a time, however long the batch
+        for part in slices(batch, "text"):
+            for kind, key, text, size, over in zip(*(part.column(c).to_pylist() for c in ("item_kind", "item_key", "text", "max_chars", "overlap_chars"))):
+                cut = spans(text, size, over)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([kind] * len(cut), pa.string()),
+                        pa.array([key] * len(cut), pa.string()),
+                        pa.array(range(1, len(cut) + 1), pa.int32()),
+                        pa.array([max(0, s - over) for s, _ in cut], pa.int32()),
+                        pa.array([text[max(0, s - over) : e] for s, e in cut], pa.string()),
+                    ],
+                    names=names,
+                )
 
 
 def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
@@ -89,7 +94,8 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
     items: item_kind, item_key, text. limits: item_kind, max_chars, overlap_chars.
     """
     rows = items.select("item_kind", F.col("item_key").cast("string").alias("item_key"), trimmed(F.col("text")).alias("text"))
-    limit = limits.select("item_kind", "max_chars", "overlap_chars").filter("max_chars is not null and overlap_chars is not null")
+    over = F.least(F.greatest(F.coalesce("overlap_chars", F.lit(0)), F.lit(0)), F.col("max_chars") - 1)
+    limit = limits.filter("max_chars >= 1").select("item_kind", "max_chars", over.alias("overlap_chars"))
     over = rows.join(F.broadcast(limit), "item_kind").filter(F.length("text") > F.col("max_chars"))
     return over.mapInArrow(_split, "item_kind string, item_key string, piece_no int, start_at int, piece string")
 

@@ -61,9 +61,11 @@ def test_null_ids_are_counted(spark):
 
 def test_chunks_are_set_by_content():
     text = "".join(random.Random(2).choices("abcdefgh ij", k=900))
-    a = rl.chunked(pa.array([text, "zz" + text], pa.large_string()))
-    first, second = a["unit"][a["row"] == 0], a["unit"][a["row"] == 1]
-    assert len(first) > 5 and set(first[1:]) <= set(second)
+    a = rl.chunked(pa.array([text, "zz" + text, f"menu\n{text}\nfoot", text[300:]], pa.large_string()))
+    first, *others = (a["unit"][(a["row"] == r) & (a["line_no"] == n)] for r, n in ((0, 1), (1, 1), (2, 2), (3, 1)))
+    # a prefix moves no cut behind it, lines around a line don't either, and a part of a line shares its chunks
+    assert len(first) > 5 and set(others[0]) >= set(first[1:]) and set(others[1]) == set(first) and len(set(others[2]) & set(first)) > 5
+    assert list(a["units"][(a["row"] == 2) & (a["line_no"] == 1)]) == [1]
 
 
 @settings(max_examples=80, deadline=None)
@@ -90,6 +92,10 @@ def test_split_items(spark):
     rows = spark.createDataFrame([("k", "1", " " * 50 + "short" + "\n" * 9), ("k", "2", "x" * 11), ("k", "3", None), ("none", "4", "y" * 99), ("k", "5", "")], "item_kind string, item_key string, text string")
     assert [(r.item_kind, r.item_key) for r in sp.oversized(sp.split_items(rows, limits)).collect()] == [("k", "2")]
     assert sp.split_items(rows.limit(0), limits).count() == 0
+    odd = spark.createDataFrame([("k", 5, 9), ("zero", 0, 0), ("minus", 4, -3)], "item_kind string, max_chars int, overlap_chars int")
+    more = spark.createDataFrame([("k", "1", "abcdefghij"), ("zero", "2", "abc"), ("minus", "3", "abcdefghij")], "item_kind string, item_key string, text string")
+    got = sp.split_items(more, odd).collect()
+    assert {r.item_key for r in got} == {"1", "3"} and max(len(r.piece) for r in got) <= 5
     huge = spark.createDataFrame([("k", "1", "word " * 100_000)], "item_kind string, item_key string, text string")
     assert sp.split_items(huge, limits).agg(F.max(F.length("piece"))).first()[0] <= 10
 
@@ -126,6 +132,34 @@ def test_contamination(spark):
     assert ct.decontaminated(d, ct.contaminated(d, it)).count() == len(docs) - len({b for b, _ in want})
 
 
+def test_matches_have_places(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, "a b c " + " ".join(f"w{i}" for i in range(5, 25)) + " end"), (2, item + " x " + item), (3, "nothing"), (4, " ".join(f"w{i}" for i in range(14)) + " or " + " ".join(f"w{i}" for i in range(9, 30)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    it = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: (r.match_words, r.doc_at, r.item_at) for r in ct.contaminated(d, it).collect()}
+    assert got == {1: (20, 3, 5), 2: (30, 0, 0), 4: (21, 15, 9)}
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choices("abcdefgh", k=30))) for i in range(12)]
+    docs = [(i, " ".join(rng.choices("xyz", k=20)) + " " + items[i % 12][1] + " " + " ".join(rng.choices("xyz", k=9))) for i in range(40)]
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = {tuple(r) for r in ct.contaminated(d, it).collect()}
+    monkeypatch.setattr(ct, "MAX_BLOCK_WORDS", 70)
+    assert len(list(ct._blocks(it, 13))) > 3
+    assert {tuple(r) for r in ct.contaminated(d, it).collect()} == whole and len(whole) >= 40
+
+
+def test_repeated_words_take_no_memory(monkeypatch):
+    monkeypatch.setattr(ct, "MAX_PLACES", 10_000)
+    shard = ct.Shard.of(pa.array(["x " * 4000, "y x x x " * 50, "x " * 12], pa.large_string()), 13)
+    h, _ = ct.words(pa.array(["x " * 200], pa.large_string()))
+    m = ct.longest_matches(shard, ct.Items([h], [5], 13))
+    assert list(zip(m["row"], m["item"], m["words"], m["doc_at"], m["item_at"])) == [(0, 0, 200, 0, 0)]
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     t = rng.integers(0, 4, 500).astype(np.uint64)
