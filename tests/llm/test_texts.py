@@ -304,28 +304,44 @@ def test_copies_of_damage_are_found(spark):
 
 def test_temperature():
     tokens = {"a": 900, "b": 90, "c": 10}
-    a, w = mx.temperature_weights(tokens, entropy=1.0)
-    assert 0 < a < 1 and abs(sum(w.values()) - 1) < 1e-9
-    assert abs(-sum(x * np.log(x) for x in w.values()) - 1.0) < 1e-6
-    assert mx.temperature_weights(tokens, entropy=9.0)[0] == 0.0
-    _, w = mx.temperature_weights(tokens, max_repeats={"a": 1, "b": 2, "c": 4}, budget=1000)
-    assert w["c"] * 1000 <= 40 + 1e-6 and w["b"] * 1000 <= 180 + 1e-6
-    assert mx.temperature_weights({}) == (0.0, {})
-
-
-def test_mix(spark):
+    entropy = lambda w: -sum(x * np.log(x) for x in w.values())
+    a, w = mx.tempered(tokens, entropy=1.0)
+    assert 0 < a < 1 and abs(sum(w.values()) - 1) < 1e-9 and abs(entropy(w) - 1.0) < 1e-6
+    assert mx.tempered(tokens, entropy=9.0) == (1.0, {s: pytest.approx(1 / 3) for s in tokens})
+    targets = {"a": 0.2, "b": 0.3, "c": 0.5}
+    assert mx.tempered(tokens, targets, max_repeats={"a": 1, "b": 1, "c": 2}, budget=40)[0] == 1.0
+    a, w = mx.tempered(tokens, targets, max_repeats={"a": 1, "b": 2, "c": 4}, budget=1000)
+    assert 0 < a < 1 and w["c"] * 1000 <= 41 + 1e-6 and w["b"] * 1000 <= 181 + 1e-6 and w["c"] > 0.01
+    assert mx.tempered({}) == (0.0, {})
+
+
+def test_mix(spark, monkeypatch):
+    monkeypatch.setattr(mx, "BLOCK_DOCS", 50)
+    monkeypatch.setattr(mx, "SPAN", 4)
     rows = [(i, "Big source", 10) for i in range(3000)] + [(10_000 + i, "small", 7) for i in range(50)] + [(20_000, "untargeted", 5), (20_000, "small", 7)]
     sizes = spark.createDataFrame(rows, "doc_id long, source string, tokens long").withColumn("source", mx.source_name(F.col("source")))
     targets = spark.createDataFrame([("big-source", 0.9, 1), ("SMALL ", 0.08, 3), ("absent", 0.02, 2), ("nothing", None, None)], "source string, target_share double, max_repeats int")
     plan = mx.plan(sizes, targets)
+    assert {r.exponent for r in plan.collect()} == {1.0}
     mixed = mx.mix(sizes, plan)
     got = {r.source: r for r in mx.shares(mixed, plan).collect()}
     assert got["small"].most_repeats <= 3 and got["big_source"].most_repeats == 1 and got["absent"].tokens_used == 0
     assert abs(got["big_source"].actual_share - 0.9 / 0.98) < 0.01 and abs(got["small"].actual_share - 0.08 / 0.98) < 0.01
-    assert {r.doc_id for r in mixed.filter("source = 'untargeted'").collect()} == set()
-    again = {(r.doc_id, r.repeats) for r in mx.mix(sizes, plan).collect()}
-    assert again == {(r.doc_id, r.repeats) for r in mixed.collect()}
-    assert mx.mix(sizes.limit(0), mx.plan(sizes.limit(0), targets)).count() == 0
+    uses = mixed.collect()
+    assert {r.doc_id for r in uses if r.source == "untargeted"} == set()
+    assert {tuple(r) for r in mx.mix(sizes, plan).collect()} == {tuple(r) for r in uses}
+    # each epoch is a permutation of its own, without gaps in a block, and no document is used twice in one
+    assert max(sum(r.epoch == e and r.doc_id == d for r in uses) for e, d in {(r.epoch, r.doc_id) for r in uses if r.doc_id != 20_000}) == 1
+    blocks = {}
+    for r in uses:
+        blocks.setdefault((r.source, r.epoch, r.block), []).append(r.position)
+    assert all(sorted(x) == list(range(1, len(x) + 1)) for x in blocks.values()) and len(blocks) > 20
+    more = mx.plan(sizes, targets, 60_000)
+    assert 0 <= more.first().exponent < 1
+    got = {r.source: r for r in mx.shares(mx.mix(sizes, more), more).collect()}
+    assert got["small"].most_repeats <= 3 and got["big_source"].most_repeats <= 1
+    none = mx.plan(sizes.limit(0), targets)
+    assert mx.mix(sizes.limit(0), none).count() == 0 and mx.shares(mx.mix(sizes.limit(0), none), none).count() == 4
 
 
 def test_tokenizer_pattern_agrees(spark):
