@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -25,6 +26,8 @@ MAIN_BLOCKS = (("div", "id", "site-map"), ("div", "class", "region region-conten
 CHROME_IDS = {"sticky", "secondary-menu", "footer-wrapper", "footer", "footer-columns", "back-top", "block-search-form"}
 CHROME_PARTS = ("sf-menu", "superfish", "breadcrumb", "region-sticky", "social-media-links", "quicktabs-tabs", "element-invisible", "rdf-meta", "contextual-links")
 SCHEMA_KEYS = ("name", "description", "url", "headline", "datePublished", "dateModified", "author", "publisher", "keywords", "about")
+#: Columns that a cell spans at most, as HTML defines it.
+MOST_SPAN = 1000
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ENDS_BEFORE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "thead", "tbody", "select", "body", "div", "section", "article", "main"}
@@ -165,35 +168,34 @@ def strip_chrome(block: Element) -> None:
             e.remove()
 
 
+#: What an element that is taken whole becomes; headings are marked by their own prefix.
+WHOLE = {"p": "{}", "a": "{}", "figcaption": "Service: {}", "li": "• {}", "dt": "• {}", "dd": "• {}", **{h: f"\n{mark}{{}}\n" for h, mark in HEADINGS.items()}}
+
+
 def block_text(block: Element) -> str:
-    """The text of a block: headings marked, paragraphs followed by a blank line, bullets for items."""
+    """The text of a block: headings marked, paragraphs followed by a blank line, bullets for items. Elements of any depth."""
     lines: list[str] = []
-
-    def walk(node: Element | str) -> None:
-        if isinstance(node, str):
-            if s := node.strip():
-                lines.append(s)
-            return
-        tag = node.tag
-        if tag in SILENT:
-            return
-        if tag == "br":
+    # what is still to be said, the next last: an element, a text, or None for a blank line
+    todo: list[Element | str | None] = [block]
+    while todo:
+        node = todo.pop()
+        if node is None:
             lines.append("")
-            return
-        whole = tag in HEADINGS or tag in ("p", "figcaption", "li", "dt", "dd", "a")
-        if whole:
-            t = node.text()
-            if t:
-                lines.append(f"\n{HEADINGS[tag]}{t}\n" if tag in HEADINGS else f"Service: {t}" if tag == "figcaption" else f"• {t}" if tag in ("li", "dt", "dd") else t)
-                if tag == "p":
-                    lines.append("")
-            return
-        for c in node.children:
-            walk(c)
-        if tag in BLANK_AFTER:
+        elif isinstance(node, str):
+            if node.strip():
+                lines.append(node.strip())
+        elif node.tag == "br":
             lines.append("")
-
-    walk(block)
+        elif node.tag in WHOLE:
+            said = node.text()
+            if said:
+                lines.append(WHOLE[node.tag].replace("{}", said))
+                if node.tag == "p":
+                    lines.append("")
+        elif node.tag not in SILENT:
+            if node.tag in BLANK_AFTER:
+                todo.append(None)
+            todo += reversed(node.children)
     return "\n".join(lines)
 
 
@@ -211,7 +213,11 @@ def announcements(root: Element) -> str:
 
 
 def page_text(page: str) -> str:
-    root = parse(page)
+    return tree_text(parse(page))
+
+
+def tree_text(root: Element) -> str:
+    """The text of a page's main block and its announcements; the tree loses its chrome."""
     block = main_block(root)
     strip_chrome(block)
     more = announcements(root)
@@ -226,7 +232,7 @@ def cells(row: Element) -> list[str]:
                 span = max(1, int(c.attrs.get("colspan", "1")))
             except ValueError:
                 span = 1
-            out += [clean(c.text())] * min(span, 1000)
+            out += [clean(c.text())] * min(span, MOST_SPAN)
     return out
 
 
@@ -331,6 +337,25 @@ def sidebar_links(page: str, block_prefix: str = "block-menu-menu-", slug: str =
     return [{"title": t, "href": h} for n, (t, h) in enumerate(rows) if h not in {x for _, x in rows[:n]}]
 
 
+_SCAN = re.compile(r"<!--.*?(?:-->|$)|<(?:script|style|template)\b.*?(?:</(?:script|style|template)\s*>|$)|<a\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+
+
+def anchors(page: str) -> list[str]:
+    """The hrefs of a page's links, entities decoded: quoted either way or not at all; without links to nowhere ('#', or a script that returns false) and those in comments and scripts."""
+    out = []
+    for m in _SCAN.finditer(page):
+        if m[1] is None:
+            continue
+        a: dict[str, str] = {}
+        for k, *v in _ATTRIBUTE.findall(m[1]):
+            a.setdefault(k.lower(), unescape(v[0] or v[1] or v[2]))
+        href = a.get("href", "").strip()
+        if href and href != "#" and "return false" not in a.get("onclick", ""):
+            out.append(href)
+    return out
+
+
 def _arrow(f: Callable[[str], object], kind: str) -> Callable[[Column], Column]:
     def run(pages: pd.Series) -> pd.Series:
         return pd.Series([f(p) if p else None for p in pages], dtype=object)
@@ -343,9 +368,25 @@ text_of = _arrow(page_text, "string")
 tables_of = _arrow(tables, "array<struct<table_index:int,headers:array<string>,rows:array<array<string>>,caption:string>>")
 faqs_of = _arrow(faq_pairs, "array<struct<question:string,answer:string,method:string>>")
 meta_of = _arrow(meta, "array<struct<kind:string,key:string,value:string>>")
+anchors_of = _arrow(anchors, "array<string>")
 sidebar_of = _arrow(sidebar_links, "array<struct<title:string,href:string>>")
 
 
+def sidebar_by_slug(page: Column, slug: Column) -> Column:
+    """sidebar_links with the slug of each page, by which links are chosen where there is no menu block."""
+
+    def run(pages: pd.Series, slugs: pd.Series) -> pd.Series:
+        return pd.Series([sidebar_links(p, slug=w or "") if p else None for p, w in zip(pages, slugs)], dtype=object)
+
+    return F.pandas_udf(run, "array<struct<title:string,href:string>>")(page, slug)
+
+
+def body_kind(html: Column) -> Column:
+    """The first class of the body that names a kind of node, or null."""
+    classes = F.regexp_extract(html, r"(?is)<body\b[^>]*?\bclass\s*=\s*[\"']([^\"']*)", 1)
+    return F.nullif(F.regexp_extract(classes, r"(?:^|\s)(node-type-[\w-]+)", 1), F.lit(""))
+
+
 def native_title(html: Column) -> Column:
     """The title element before ' | ' without Python, for pages whose title has no entities; 'Untitled' without one."""
     t = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))

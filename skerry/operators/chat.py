@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import rules as rl
 from . import conversation as cv
 from . import retrieval as rt
 from . import vector_index as vx
@@ -64,10 +65,10 @@ class Answer:
     fallback: bool = False
 
 
-def retrieved(chunks: DataFrame, question: str, embed: Embedder = hashed_embedding, k: int = rt.TOP_K, least: float = rt.LEAST_SCORE) -> DataFrame:
+def retrieved(chunks: DataFrame, question: str, kinds: rl.Rules, embed: Embedder = hashed_embedding, k: int = rt.TOP_K, least: float = rt.LEAST_SCORE) -> DataFrame:
     """The chunks for a question: best of each node, enriched for missions, ranked, cut to the budget. chunks: chunk columns, seq, embedding."""
     spark = chunks.sparkSession
-    kind = spark.range(1).select(rt.question_kind(F.lit(question))).first()[0]
+    kind = spark.range(1).select(rt.question_kind(F.lit(question), kinds)).first()[0]
     vector = [float(x) for x in embed([question])[0]]
     best = vx.search(chunks, vector, 2 * k, least, "node_id", "seq")
     best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "seq")))
@@ -76,13 +77,13 @@ def retrieved(chunks: DataFrame, question: str, embed: Embedder = hashed_embeddi
     return rt.within_budget(rt.reranked(best, kind)).withColumn("kind", F.lit(kind))
 
 
-def ask(chunks: DataFrame, question: str, history: list[dict[str, str]], generate: Generator, embed: Embedder = hashed_embedding) -> Answer:
+def ask(chunks: DataFrame, question: str, history: list[dict[str, str]], generate: Generator, kinds: rl.Rules = (), embed: Embedder = hashed_embedding) -> Answer:
     """Answer a question and append both to the history, which is cut to the last turns. Without chunks by vector, keywords are tried."""
     question = question.strip()
     if not question:
         return Answer(question, NO_ANSWER, "general", fallback=True)
     # at most a few rows: the budget bounds them
-    found = retrieved(chunks, question, embed).orderBy("rank").collect()
+    found = retrieved(chunks, question, kinds, embed).orderBy("rank").collect()
     fallback = not found
     if fallback:
         found = rt.keyword_search(chunks, question, FALLBACK_CHUNKS).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hits"), "seq"))).orderBy("rank").collect()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import html as ht
 from ..functions import urls
 from ..session import checkpoint_root
 from . import dedup
@@ -15,6 +16,12 @@ def next_pending(queue: DataFrame, n: int) -> DataFrame:
     return queue.filter("status = 'pending'").orderBy("depth", "id").limit(n)
 
 
+def within_cap(queue: DataFrame, n: int, most: int = 500) -> DataFrame:
+    """next_pending while a crawl of at most so many pages lasts: those already visited count."""
+    visited = queue.filter("lower(status) = 'visited'").count()
+    return next_pending(queue, max(0, min(n, most - visited)))
+
+
 def with_action(queue: DataFrame, most: int = 4) -> DataFrame:
     return queue.withColumn("action", urls.crawl_action(F.col("url"), F.col("depth"), most))
 
@@ -27,10 +34,9 @@ def updated(queue: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def links(pages: DataFrame, html: str = "content_html", url: str = "url") -> DataFrame:
-    """(url, href, target): the distinct links of each page in normal form; links to places in the page aside."""
-    href = F.explode(F.regexp_extract_all(F.col(html), F.lit(r'(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"'), F.lit(1)))
-    rows = pages.select(url, href.alias("href")).filter("href <> '' and not startswith(href, '#')")
-    return rows.withColumn("target", urls.resolved(F.col("href"), F.col(url))).filter("target is not null").dropDuplicates([url, "target"])
+    """(url, href, target): the distinct links of each page, resolved against it, in normal form; links to nowhere and places in the page aside."""
+    rows = pages.select(url, F.explode(ht.anchors_of(F.col(html))).alias("href")).filter("not startswith(href, '#')")
+    return rows.withColumn("target", urls.resolved_any(F.col("href"), F.col(url))).filter("target is not null").dropDuplicates([url, "target"])
 
 
 def discovered(pages: DataFrame, queue: DataFrame, domains: tuple[str, ...]) -> DataFrame:

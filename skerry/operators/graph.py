@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from . import dedup
 
-LAST_WINS = "spark.sql.mapKeyDedupPolicy"
-
 
 def flat_attributes(**values: Column) -> Column:
     """A map of the values that are not null: lists joined by '; ', booleans as True and False, others as text."""

@@ -25,11 +25,13 @@ def _parts(pages: pd.Series) -> pd.DataFrame:
     out = []
     for p in pages:
         root = ht.parse(p or "")
-        out.append((ht.title(root), ht.page_text(p or ""), sum("href" in a.attrs for a in root.all("a"))))
+        name, n = ht.title(root), sum("href" in a.attrs for a in root.all("a"))
+        # last, as it takes the chrome out of the tree
+        out.append((name, ht.tree_text(root), n))
     return pd.DataFrame(out, columns=["title", "text", "links_found"])
 
 
-def page_rows(fetched: DataFrame, slugs: tuple[str, ...] = (), kinds: rl.Rules = en.PAGE_KINDS) -> DataFrame:
+def page_rows(fetched: DataFrame, rules: en.PageRules = en.PageRules()) -> DataFrame:
     """Rows of the table pages for pages fetched with status 200."""
     rows = fetched.filter("status_code = 200 and html is not null").withColumn("p", F.pandas_udf(_parts, _PARTS)("html"))
     text = F.col("p.text")
@@ -40,7 +42,7 @@ def page_rows(fetched: DataFrame, slugs: tuple[str, ...] = (), kinds: rl.Rules =
         text.alias("content_text"),
         F.substring("html", 1, HTML_SIZE).alias("content_html"),
         tx.content_hash(text).alias("content_hash"),
-        en.page_kind(F.col("url"), F.col("p.title"), text, slugs, kinds=kinds).alias("page_type"),
+        en.page_kind(F.col("url"), F.col("p.title"), text, rules).alias("page_type"),
         "depth",
         F.col("p.links_found").alias("links_found"),
         "status_code",
@@ -107,9 +109,9 @@ def announced_documents(fetched: DataFrame, domains: tuple[str, ...]) -> DataFra
     return _resolved(rows, domains).filter(ur.is_document(F.col("url")))
 
 
-def section_links(fetched: DataFrame, domains: tuple[str, ...], sections: rl.Rules = en.SECTIONS) -> DataFrame:
-    """(source_url, title, url, section_type) of the links in the menu beside a landing page."""
-    rows = fetched.select("url", F.explode(ht.sidebar_of(F.col("html"))).alias("x"))
+def section_links(fetched: DataFrame, domains: tuple[str, ...], sections: rl.Rules) -> DataFrame:
+    """(source_url, title, url, section_type) of the links in the menu beside a landing page, else of its links that begin with its own slug."""
+    rows = fetched.select("url", F.explode(ht.sidebar_by_slug(F.col("html"), ur.last_segment(F.col("url")))).alias("x"))
     return _resolved(rows, domains).withColumn("section_type", en.section_kind(F.col("url"), F.col("title"), sections))
 
 

@@ -2,7 +2,10 @@
 
 Exact search scores every row against each query and keeps the best k in each task. The approximate index (IVF) learns cells by k-means on a bounded sample and
 assigns every row to its cell; a query looks into the nearest cells only, which a
-join on the cell prunes. k grows with the sample, so that cells hold a bounded share.
+join on the cell prunes. Cells hold CELL_ROWS rows on average until there are MAX_CELLS of
+them, which bounds the table of centres that is broadcast; beyond that, cells grow with the
+table and are searched in parallel parts. ``build_index`` searches exactly up to EXACT_ROWS
+rows and by cells beyond; ``save`` and ``load`` keep an index as Parquet, rows by cell.
 """
 
 from __future__ import annotations
@@ -13,14 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import dot, squared_distance, unit
 
-#: Rows up to which search is exact by default, most cells, and rows on which cells are learned at most.
-EXACT_ROWS, MAX_CELLS, SAMPLE_ROWS = 10_000, 256, 50_000
+#: Rows up to which search is exact by default, rows of a cell, most cells, and rows on which cells are learned at most.
+EXACT_ROWS, CELL_ROWS, MAX_CELLS, SAMPLE_ROWS = 10_000, 4_000, 4_096, 100_000
+#: Parts of a cell that are searched apart, and cells that a query looks into.
+PARTS, PROBES = 16, 32
 #: Queries that go to the tasks at once.
 BLOCK_QUERIES = 2_048
 
@@ -69,12 +75,26 @@ def _best(names: np.ndarray, q: np.ndarray, k: int, order: str):
             ids = batch.column(order).to_numpy()
             m = batch.column("embedding").flatten().to_numpy().reshape(batch.num_rows, -1)
             scores = q @ m.T
-            best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+            best = _top(scores, ids, k)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", order, "score"])
 
     return task
 
 
+def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Of each row of scores, the places of the k highest, ties by id."""
+    n = scores.shape[1]
+    if n <= 4 * k:
+        return np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+    out = np.empty((len(scores), k), np.int64)
+    least = np.partition(scores, n - k, axis=1)[:, n - k]
+    for i, (row, bound) in enumerate(zip(scores, least)):
+        # all that reach the k-th score, as ties at it are told apart by id
+        at = np.flatnonzero(row >= bound)
+        out[i] = at[np.lexsort((ids[at], -row[at]))[:k]]
+    return out
+
+
 def search(vectors: DataFrame, query: list[float], k: int = 6, least: float = 0.25, group: str = "label", order: str = "vec_id", over: int = 4, filters: str | None = None) -> DataFrame:
     """The best row of each group among the best over * k rows that score at least so much, k groups at most.
 
@@ -88,33 +108,68 @@ def search(vectors: DataFrame, query: list[float], k: int = 6, least: float = 0.
 
 
 class CellIndex:
-    """An inverted file: centres, and the rows with their cell."""
+    """Rows with their cell, and the cells' centres; without centres (one cell), search is exact."""
 
-    def __init__(self, rows: DataFrame, centres: DataFrame, cells: int):
+    def __init__(self, rows: DataFrame, centres: DataFrame | None, cells: int):
         self.rows, self.centres, self.cells = rows, centres, cells
 
-    def search(self, queries: DataFrame, k: int, probes: int = 32, order: str = "vec_id") -> DataFrame:
-        """(query_id, row, score, rank): the k best rows of the probed cells of each query."""
+    def search(self, queries: DataFrame, k: int, probes: int = PROBES, order: str = "vec_id") -> DataFrame:
+        """(query_id, order, score, rank): the k best rows of the probed cells of each query."""
+        if self.centres is None:
+            return top_k_each(self.rows, queries, k, order)
         # the centres are at most MAX_CELLS rows
         near = queries.select("query_id", F.col("embedding").alias("_q")).join(F.broadcast(self.centres))
         near = near.withColumn("d", squared_distance(F.col("centre"), F.col("_q")))
         nearest = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "cell"))
-        probed = near.withColumn("n", nearest).filter(F.col("n") <= probes).select("query_id", "cell", "_q")
-        scored = self.rows.join(probed, "cell").withColumn("score", dot(F.col("embedding"), F.col("_q"))).drop("_q")
+        probed = near.withColumn("n", nearest).filter(F.col("n") <= probes).select("query_id", "cell", "_q", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        # a cell is searched in parts, as one may hold a third of the rows
+        parts = self.rows.withColumn("part", F.pmod(F.xxhash64(order), F.lit(PARTS)).cast("int"))
+        scored = parts.join(probed, ["cell", "part"]).withColumn("score", dot(F.col("embedding"), F.col("_q"))).drop("_q")
+        best = F.row_number().over(Window.partitionBy("query_id", "cell", "part").orderBy(F.desc("score"), order))
+        scored = scored.withColumn("rank", best).filter(F.col("rank") <= k)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), order))
-        return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+        return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", order, "score", "rank")
+
+    def save(self, path: str) -> None:
+        """Write the index into a folder: rows, by cell, and centres."""
+        (self.rows if self.centres is not None else self.rows.withColumn("cell", F.lit(0))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        if self.centres is not None:
+            self.centres.write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def load_index(spark: SparkSession, path: str) -> CellIndex:
+    """An index that ``save`` wrote."""
+    rows = spark.read.parquet(f"{path}/rows")
+    try:
+        centres = spark.read.parquet(f"{path}/centres")
+    except AnalysisException:
+        return CellIndex(rows, None, 1)
+    return CellIndex(rows, centres, centres.count())
 
 
-def build_cells(vectors: DataFrame, cells: int | None = None, seed: int = 7, sample: int = SAMPLE_ROWS) -> CellIndex:
-    """Cells learned on at most sample rows, every row assigned to one."""
+def build_cells(vectors: DataFrame, cells: int | None = None, seed: int = 7, sample: int = SAMPLE_ROWS, order: str = "vec_id") -> CellIndex:
+    """Cells learned on about sample rows at most, every row assigned to one. Without rows, or with fewer than cells, the index is exact."""
     n = vectors.count()
-    cells = cells or max(1, min(MAX_CELLS, n // 10))
-    some = vectors.filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 20)) < min(1.0, sample / max(1, n)) * (1 << 20))
+    cells = cells or max(1, min(MAX_CELLS, max(min(256, n // 10), n // CELL_ROWS)))
+    if n < max(2, cells):
+        return CellIndex(vectors, None, 1)
+    some = vectors.filter(F.pmod(F.xxhash64(order, F.lit(seed)), F.lit(1 << 20)) < min(1.0, sample / n) * (1 << 20))
     model: KMeansModel = KMeans(k=cells, seed=seed, maxIter=15, featuresCol="v").fit(some.select(array_to_vector("embedding").alias("v")))
     rows = model.transform(vectors.withColumn("v", array_to_vector("embedding"))).withColumnRenamed("prediction", "cell").drop("v")
     centres = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
     return CellIndex(rows, centres, cells)
 
 
+def build_index(vectors: DataFrame, exact_rows: int = EXACT_ROWS, order: str = "vec_id") -> CellIndex:
+    """Exact search up to exact_rows rows, cells beyond."""
+    return CellIndex(vectors, None, 1) if vectors.count() <= exact_rows else build_cells(vectors, order=order)
+
+
+def recall(found: DataFrame, exact: DataFrame, order: str = "vec_id") -> DataFrame:
+    """(queries, wanted, hits, recall) of found against exact, both (query_id, order)."""
+    hit = exact.join(found.select("query_id", order).withColumn("hit", F.lit(1)), ["query_id", order], "left")
+    return hit.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), F.count("hit").alias("hits")).withColumn("recall", F.expr("try_divide(hits, wanted)"))
+
+
 def normalised(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("embedding", unit(F.col("embedding")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,15 +23,17 @@ from ..operators import ingest as ig
 from ..operators import reports as rp
 from ..operators import retrieval as rt
 from ..operators import vector_index as vx
-from ..sources.readers import table
+from ..session import checkpoint_root
+from ..sources.readers import by_url, table
+from . import fixtures
+from . import portal as vp
 from .oracle import oracle_sql
+from .portal import MISSIONS, SLUGS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-#: Parameters of the queries: the portal's missions and hosts, and texts to search for.
-SLUGS = ("orvex-2", "selkara-1", "nimbra-3", "thalvos-4", "ventira-1", "mariste-3", "cirrane-2", "brumalis-1", "zephrin-2", "ombrela-2", "glavis-3", "fendris-1", "korune-1a", "lumexa-5", "pluvane-2", "tidora-1", "haldora-1", "aquenta-1b")
-MISSIONS: rl.Rules = tuple((s, (s, s.replace("-", ""))) for s in SLUGS)
+#: Parameters of the queries: the portal's hosts, and texts to search for; its words are in ``portal``.
 DOMAINS = ("samverta.example", "velkara.example", "norvane-met.example")
 SEARCHED = ("significant wave height near the Uskar Desert", "calibration coefficients for the Coral Scanner", "orbit files in NetCDF")
 ROBOTS = (("portal.samverta.example", "*", False, "/internal"), ("portal.samverta.example", "*", True, "/internal/catalog"), ("archive.velkara.example", "*", False, "/node"), ("learn.quenmar.example", "other", False, "/"), ("blog.kaspen-sea.example", "*", False, ""))
@@ -44,7 +47,7 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | fixtures.QUERIES
 
 
 # ---- text
@@ -188,7 +191,7 @@ def _fetched(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def ingest_pages(s: SparkSession, d: str) -> DataFrame:
-    return ig.page_rows(_fetched(s, d), SLUGS)
+    return ig.page_rows(_fetched(s, d), vp.PAGES)
 
 
 @query
@@ -205,7 +208,7 @@ def ingest_links(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def ingest_sections(s: SparkSession, d: str) -> DataFrame:
-    return ig.section_links(_fetched(s, d), DOMAINS)
+    return ig.section_links(_fetched(s, d), DOMAINS, vp.SECTIONS)
 
 
 @query
@@ -219,17 +222,27 @@ def robots_permitted(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def page_classify(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "pages").select("id", en.page_kind(F.col("url"), F.col("title"), F.col("content_text"), SLUGS).alias("kind"))
+    return table(s, d, "pages").select("id", en.page_kind(F.col("url"), F.col("title"), F.col("content_text"), vp.PAGES).alias("kind"))
+
+
+@query
+def mission_context(s: SparkSession, d: str) -> DataFrame:
+    return en.mission_context(table(s, d, "pages"), vp.PAGES).select("id", "mission_slug", "mission_section", "node_kind")
+
+
+@query
+def section_from_url(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "mission_hierarchy").select("id", en.section_from_url(F.col("section_url"), vp.PAGES.sections).alias("section"))
 
 
 @query
 def section_classify(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "mission_hierarchy").select("id", en.section_kind(F.col("section_url"), F.col("section_title")).alias("kind"))
+    return table(s, d, "mission_hierarchy").select("id", en.section_kind(F.col("section_url"), F.col("section_title"), vp.SECTIONS).alias("kind"))
 
 
 @query
 def query_classify(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "faqs").select("id", rt.question_kind(F.col("question")).alias("kind"), rl.first_match(F.lower("question"), en.TOPICS, "General").alias("topic"))
+    return table(s, d, "faqs").select("id", rt.question_kind(F.col("question"), vp.QUESTIONS).alias("kind"), rl.first_match(F.lower("question"), en.TOPICS, "General").alias("topic"))
 
 
 @query
@@ -264,6 +277,21 @@ def frontier_next(s: SparkSession, d: str) -> DataFrame:
     return fr.next_pending(table(s, d, "crawl_queue"), 25).select("id", "url", "depth")
 
 
+@query
+def frontier_capped(s: SparkSession, d: str) -> DataFrame:
+    return fr.within_cap(table(s, d, "crawl_queue"), 25, 100_000).select("id", "url", "depth")
+
+
+@query
+def page_lookup(s: SparkSession, d: str) -> DataFrame:
+    return by_url(table(s, d, "pages"), "https://portal.samverta.example/orvex-2-introduction").select("id", "url", "depth")
+
+
+@query
+def hierarchy_of(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "mission_hierarchy").filter(F.col("mission_slug") == SLUGS[0]).select("id", "section_url")
+
+
 @query
 def queue_stats(s: SparkSession, d: str) -> DataFrame:
     return rp.counts_by(table(s, d, "crawl_queue").withColumn("status", F.lower("status")), "status")
@@ -312,7 +340,7 @@ def url_union(s: SparkSession, d: str) -> DataFrame:
 def crawl_levels(s: SparkSession, d: str) -> DataFrame:
     q = table(s, d, "crawl_queue")
     edges = q.filter("parent_url is not null").select(F.col("parent_url").alias("src"), F.col("url").alias("dst"))
-    return fr.breadth_first(edges, q.filter("depth = 0").select(F.col("url").alias("node")), 3)
+    return fr.breadth_first(edges, q.filter("depth = 0").select(F.col("url").alias("node")))
 
 
 # ---- deduplication
@@ -366,10 +394,15 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
     return rp.section_texts(table(s, d, "mission_hierarchy"), table(s, d, "pages"))
 
 
+def _missions(s: SparkSession, d: str) -> DataFrame:
+    dimension = s.createDataFrame(vp.DIMENSION, "mission_slug string, orbit_type string, mission_family string, agency string")
+    return en.mission_nodes(table(s, d, "mission_hierarchy"), _texts(s, d), dimension)
+
+
 def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     documents = en.document_nodes(table(s, d, "site_documents"), MISSIONS)
     sections = en.section_nodes(table(s, d, "mission_hierarchy"), table(s, d, "pages"))
-    nodes = dd.union_by_name([en.mission_nodes(table(s, d, "mission_hierarchy"), _texts(s, d)), sections[0], en.faq_nodes(table(s, d, "faqs")), documents[0]])
+    nodes = dd.union_by_name([_missions(s, d), sections[0], en.faq_nodes(table(s, d, "faqs")), documents[0]])
     return nodes, dd.union_by_name([sections[1], documents[1]])
 
 
@@ -404,12 +437,13 @@ def section_edges(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def mission_nodes(s: SparkSession, d: str) -> DataFrame:
-    return _flat(en.mission_nodes(table(s, d, "mission_hierarchy"), _texts(s, d)))
+    return _flat(_missions(s, d))
 
 
 @query
 def product_nodes(s: SparkSession, d: str) -> DataFrame:
-    return en.product_nodes(table(s, d, "pages").filter("page_type = 'open_data'")).select("node_id", "label", "source_url", F.try_element_at("attributes", F.lit("category")).alias("category"), F.try_element_at("attributes", F.lit("data_format")).alias("data_format"), "text")
+    nodes = en.product_nodes(table(s, d, "pages").filter("page_type = 'open_data'"), vp.PRODUCTS)
+    return nodes.select("node_id", "label", "source_url", *(F.try_element_at("attributes", F.lit(c)).alias(c) for c in ("category", "data_format", "coverage", "algorithm", "download_url")), "text")
 
 
 @query
@@ -530,8 +564,28 @@ def vector_topk_each(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def vector_cells(s: SparkSession, d: str) -> DataFrame:
-    index = vx.build_cells(table(s, d, "embeddings"), 16)
-    return index.search(_query_vectors(s, d), 10, 12).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    index = vx.build_cells(table(s, d, "embeddings"))
+    return index.search(_query_vectors(s, d), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_recall(s: SparkSession, d: str) -> DataFrame:
+    rows, asked = table(s, d, "embeddings"), _query_vectors(s, d)
+    found = vx.recall(vx.build_cells(rows).search(asked, 10), vx.top_k_each(rows, asked, 10))
+    return found.select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query
+def vector_index_saved(s: SparkSession, d: str) -> DataFrame:
+    index, path = vx.build_cells(table(s, d, "embeddings"), 16), f"{checkpoint_root(s)}/skerry-index-{uuid.uuid4().hex}"
+    index.save(path)
+    # all cells, so that the rows are those of the exact search
+    return vx.load_index(s, path).search(_query_vectors(s, d), 10, 16).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_index_exact(s: SparkSession, d: str) -> DataFrame:
+    return vx.build_index(table(s, d, "embeddings")).search(_query_vectors(s, d), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 # ---- retrieval
@@ -583,7 +637,7 @@ def retrieve(s: SparkSession, d: str) -> DataFrame:
 @query
 def answer_context(s: SparkSession, d: str) -> DataFrame:
     chunks = ch.embedded(ck.cleaned(table(s, d, "text_chunks")).withColumn("seq", F.col("chunk_id")))
-    found = ch.retrieved(chunks, SEARCHED[0], least=0.1)
+    found = ch.retrieved(chunks, SEARCHED[0], vp.QUESTIONS, least=0.1)
     return found.select("chunk_id", F.col("rank").cast("bigint").alias("rank"), "kind")
 
 
@@ -596,7 +650,7 @@ def _history(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def history_tail(s: SparkSession, d: str) -> DataFrame:
-    return cv.tail(_history(s, d), 2).select("conv_id", "turn", "role")
+    return cv.tail(_history(s, d)).select("conv_id", "turn", "role")
 
 
 @query
@@ -619,7 +673,7 @@ def source_lists(s: SparkSession, d: str) -> DataFrame:
 def prompts(s: SparkSession, d: str) -> DataFrame:
     asked = table(s, d, "faqs").select(F.col("id").alias("conv_id"), "question").filter("question is not null")
     contexts = table(s, d, "faqs").select(F.col("id").alias("conv_id"), F.col("answer").alias("context"))
-    rows = cv.messages(_history(s, d), asked, contexts, 1)
+    rows = cv.messages(_history(s, d), asked, contexts)
     return rows.select("conv_id", F.size("messages").cast("bigint").alias("n"), F.element_at("messages", -1)["content"].alias("last"))
 
 

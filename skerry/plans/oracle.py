@@ -134,7 +134,10 @@ def split(source: str, key: str, text: str, size: int = 1500, overlap: int = 200
 
 
 def oracle_sql() -> dict[str, str]:
-    from .catalogue import DOMAINS, GARBAGE, MISSIONS, PAGE_TYPES, ROBOTS, SEARCHED, SLUGS
+    from . import fixtures
+    from . import portal as vp
+    from .catalogue import DOMAINS, GARBAGE, PAGE_TYPES, ROBOTS, SEARCHED
+    from .portal import MISSIONS, SLUGS
 
     rank = "CASE coalesce(section_type, '') " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(rp.SECTION_ORDER)) + f" ELSE {len(rp.SECTION_ORDER) + 1} END"
     texts = f"""
@@ -145,12 +148,17 @@ def oracle_sql() -> dict[str, str]:
     head = "substr(coalesce(content_text, ''), 1, 600)"
     everything = f"lower(concat_ws(' ', coalesce(url, ''), coalesce(title, ''), {head}))"
     said = f"lower(concat_ws(' ', coalesce(title, ''), {head}))"
-    kinds = f"CASE WHEN {has(everything, dict(en.PAGE_KINDS)['faq'])} THEN 'faq' "
-    for slug in SLUGS:
+    kinds = f"CASE WHEN {has(everything, vp.PAGES.faq)} THEN 'faq' "
+    context = ""
+    for slug, _ in vp.PAGES.slugs:
         tail = f"regexp_replace(list_extract(string_split(lower(url), '/{slug}'), -1), '^/*-*', '')"
         hit = f"contains(lower(url), '/{slug}')"
-        kinds += f"WHEN {hit} AND {has(tail, ('introduction', 'objectives', 'spacecraft', 'payloads', 'references'))} THEN 'mission_section' WHEN {hit} THEN 'mission' "
-    kinds += " ".join(f"WHEN {has(said, words)} THEN '{k}'" for k, words in en.PAGE_KINDS if k != "faq") + " ELSE 'general' END"
+        kinds += f"WHEN {hit} AND {has(tail, vp.PAGES.sections)} THEN 'mission_section' WHEN {hit} THEN 'mission' "
+        context += f"WHEN {hit} THEN CASE WHEN {tail} = '' THEN 'landing' ELSE {rules(tail, [(x, (x,)) for x in vp.PAGES.sections], 'other')} END "
+    kinds += f"WHEN {has('lower(url)', vp.PAGES.open_data)} THEN 'open_data' " + " ".join(f"WHEN {has(said, words)} THEN '{k}'" for k, words in vp.PAGES.kinds) + " ELSE 'general' END"
+    of_mission = rules("lower(url)", [(m, (f"/{x}",)) for x, m in vp.PAGES.slugs])
+    body_class = "regexp_extract(content_html, '(?is)<body\\b[^>]*?\\bclass\\s*=\\s*[\"'']([^\"'']*)', 1)"
+    dimension = "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in vp.DIMENSION) + ") dim(mission_slug, orbit_type, mission_family, agency)"
     body = "coalesce(extracted_text, '')"
     doc_type = rules("lower(filename)", en.DOC_TYPES, "Document")
     mission = rules("lower(concat_ws(' ', filename, url))", MISSIONS)
@@ -179,9 +187,9 @@ def oracle_sql() -> dict[str, str]:
     low = "lower(coalesce(t.text, ''))"
     apps = "concat_ws('; ', " + ", ".join(f"CASE WHEN {has('{x}', words)} THEN {lit(a)} END" for a, words in en.APPLICATIONS) + ")"
     mission_nodes = f"""SELECT 'mission:' || m.mission_slug AS node_id, 'Mission' AS node_type, m.name AS label, m.url AS source_url,
-        {flat(slug='m.mission_slug', display_name='m.name', launch_year=number(low, en.LAUNCH_YEAR), altitude_km=number(low, en.ALTITUDE), orbit_class=rules(low, en.ORBITS), status=rules(low, en.STATES), applications=f"nullif({apps.replace('{x}', low)}, '')")} AS attributes,
+        {flat(slug='m.mission_slug', display_name='m.name', orbit_type="coalesce(dim.orbit_type, 'Unknown')", mission_family="coalesce(dim.mission_family, 'Unknown')", agency='dim.agency', launch_year=number(low, en.LAUNCH_YEAR), altitude_km=number(low, en.ALTITUDE), orbit_class=rules(low, en.ORBITS), status=rules(low, en.STATES), applications=f"nullif({apps.replace('{x}', low)}, '')")} AS attributes,
         coalesce(t.text, '') AS text, m.id * 10 AS seq
-        FROM (SELECT mission_slug, min(mission_name) AS name, min(mission_url) AS url, min(id) AS id FROM mission_hierarchy GROUP BY 1) m LEFT JOIN texts t USING (mission_slug)"""
+        FROM (SELECT mission_slug, min(mission_name) AS name, min(mission_url) AS url, min(id) AS id FROM mission_hierarchy GROUP BY 1) m LEFT JOIN texts t USING (mission_slug) LEFT JOIN {dimension} USING (mission_slug)"""
     all_edges = f"SELECT * FROM ({section_edges}) UNION ALL SELECT source_id, target_id, relation_type FROM ({doc_edges})"
     all_nodes = f"SELECT node_id, node_type, label FROM ({mission_nodes}) UNION ALL SELECT node_id, node_type, label FROM ({section_nodes}) UNION ALL SELECT node_id, node_type, label FROM ({faq_nodes}) UNION ALL SELECT node_id, node_type, label FROM ({doc_nodes})"
     chunk_said = "lower(concat_ws(' ', coalesce(text, ''), coalesce(label, '')))"
@@ -231,8 +239,13 @@ def oracle_sql() -> dict[str, str]:
         "ingest_new_pages": "SELECT id, h AS content_hash FROM (SELECT id, status_code, sha256(coalesce(content_text, '')) AS h FROM pages) WHERE status_code = 200 AND h NOT IN (SELECT sha256(coalesce(content_text, '')) FROM pages WHERE status_code <> 200) QUALIFY row_number() OVER (PARTITION BY h ORDER BY id) = 1",
         "robots_permitted": f"WITH r(host, agent, allow, path) AS (VALUES {', '.join(f'({lit(a)}, {lit(b)}, {c}, {lit(e)})' for a, b, c, e in ROBOTS)}), q AS (SELECT DISTINCT url, {host('url')} AS host, regexp_extract(url, '^{SCHEME}://[^/?#]*(.*)$', 1) AS p FROM crawl_queue), v AS (SELECT url, arg_max(allow, {{'n': length(path), 'a': allow}}) AS allow FROM q JOIN r ON q.host = r.host AND agent = '*' AND path <> '' AND starts_with(p, path) GROUP BY url) SELECT id FROM crawl_queue WHERE url IS NULL OR url NOT IN (SELECT url FROM v WHERE NOT allow)",
         "page_classify": f"SELECT id, {kinds} AS kind FROM pages",
-        "section_classify": f"SELECT id, {rules('concat_ws(chr(32), lower(section_url), lower(section_title))', en.SECTIONS, 'other')} AS kind FROM mission_hierarchy",
-        "query_classify": f"SELECT id, {rules('lower(question)', rt.QUESTION_KINDS, 'general')} AS kind, {topic} AS topic FROM faqs",
+        "section_classify": f"SELECT id, {rules('concat_ws(chr(32), lower(section_url), lower(section_title))', vp.SECTIONS, 'other')} AS kind FROM mission_hierarchy",
+        "query_classify": f"SELECT id, {rules('lower(question)', vp.QUESTIONS, 'general')} AS kind, {topic} AS topic FROM faqs",
+        "mission_context": f"SELECT id, {of_mission} AS mission_slug, CASE {context} END AS mission_section, CASE WHEN {of_mission} IS NOT NULL THEN nullif(regexp_extract({body_class}, '(?:^|\\s)(node-type-[\\w-]+)', 1), '') END AS node_kind FROM pages",
+        "section_from_url": f"SELECT id, {rules('lower(section_url)', [(x, (x,)) for x in vp.PAGES.sections], 'section')} AS section FROM mission_hierarchy",
+        "frontier_capped": "SELECT id, url, depth FROM crawl_queue WHERE status = 'pending' QUALIFY row_number() OVER (ORDER BY depth, id) <= least(25, 100000 - (SELECT count(*) FROM crawl_queue WHERE lower(status) = 'visited'))",
+        "page_lookup": "SELECT id, url, depth FROM pages WHERE url = 'https://portal.samverta.example/orvex-2-introduction'",
+        "hierarchy_of": f"SELECT id, section_url FROM mission_hierarchy WHERE mission_slug = '{SLUGS[0]}'",
         "document_missions": f"SELECT id, {mission} AS label FROM site_documents",
         "application_labels": f"SELECT doc_id, {'CASE WHEN text IS NULL THEN ' + lit('') + ' ELSE ' + apps.replace('{x}', 'lower(text)') + ' END'} AS applications, {rules('substr(lower(text), 1, 500)', en.CATEGORIES, 'Unknown')} AS category FROM documents",
         "page_filter": f"SELECT id, page_type, url FROM pages WHERE page_type IN ({', '.join(map(lit, PAGE_TYPES))}) AND word_count >= 10 AND language = 'en' AND NOT {has('lower(url)', GARBAGE)}",
@@ -246,7 +259,7 @@ def oracle_sql() -> dict[str, str]:
         "discovered_urls": f"WITH {links}, found AS (SELECT DISTINCT l.url AS parent_url, target AS url FROM links l WHERE {allowed('target', DOMAINS)} AND target NOT IN (SELECT url FROM crawl_queue WHERE url IS NOT NULL)), deep AS (SELECT url AS parent_url, min(coalesce(depth, 0)) AS d FROM pages GROUP BY 1) SELECT url, arg_min(parent_url, {{'d': d, 'p': parent_url}}) AS parent_url, min(d) + 1 AS depth FROM found JOIN deep USING (parent_url) GROUP BY url",
         "unseen_urls": "SELECT DISTINCT url FROM pages ANTI JOIN crawl_queue USING (url)",
         "url_union": "SELECT section_url AS url FROM mission_hierarchy UNION SELECT url FROM site_documents",
-        "crawl_levels": "WITH RECURSIVE e AS (SELECT DISTINCT parent_url AS src, url AS dst FROM crawl_queue WHERE parent_url IS NOT NULL), r AS (SELECT DISTINCT url AS node, 0 AS depth FROM crawl_queue WHERE depth = 0 UNION SELECT dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node",
+        "crawl_levels": "WITH RECURSIVE e AS (SELECT DISTINCT parent_url AS src, url AS dst FROM crawl_queue WHERE parent_url IS NOT NULL), r AS (SELECT DISTINCT url AS node, 0 AS depth FROM crawl_queue WHERE depth = 0 UNION SELECT dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 4) SELECT node, min(depth) AS depth FROM r GROUP BY node",
         "content_dedup": "SELECT doc_id, sha FROM (SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents) QUALIFY row_number() OVER (PARTITION BY sha ORDER BY doc_id) = 1",
         "faq_dedup": "SELECT id, key FROM (SELECT id, lower(trim(question)) AS key FROM faqs WHERE coalesce(question, '') <> '' AND length(answer) > 10) QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) = 1",
         "hierarchy_stats": "SELECT mission_slug, min(mission_name) AS mission_name, count(*) AS total, CAST(count_if(crawl_status = 'done') AS BIGINT) AS done, CAST(count(*) - count_if(crawl_status = 'done') AS BIGINT) AS pending FROM mission_hierarchy GROUP BY 1",
@@ -260,7 +273,12 @@ def oracle_sql() -> dict[str, str]:
         "section_nodes": f"WITH {section} {section_nodes}",
         "section_edges": f"WITH {section} {section_edges}",
         "mission_nodes": f"WITH {texts} {mission_nodes}",
-        "product_nodes": f"SELECT 'opendata:' || slug AS node_id, label, url AS source_url, category, data_format, label || ' (' || category || '). ' || {first_line('content_text', 800)} AS text FROM (SELECT *, {last_segment('url')} AS slug, {title_case(f'''translate({last_segment('url')}, '-_', '  ')''')} AS label, {rules('substr(lower(content_text), 1, 500)', en.CATEGORIES, 'Unknown')} AS category, {rules('lower(content_text)', [(f.upper(), (f,)) for f in en.FORMATS])} AS data_format FROM pages WHERE page_type = 'open_data' AND coalesce(word_count, 0) >= 20 AND trim(coalesce(content_text, '')) <> '')",
+        "product_nodes": f"""SELECT 'opendata:' || slug AS node_id, label, url AS source_url, category, data_format, coverage, algorithm, download_url, label || ' (' || category || '). ' || {first_line('content_text', 800)} AS text FROM (
+            SELECT *, CASE slug {' '.join(f'WHEN {lit(k)} THEN {lit(v)}' for k, v in vp.PRODUCTS.labels)} ELSE {title_case("translate(slug, '-_', '  ')")} END AS label,
+                coalesce({rules('lower(slug)', vp.PRODUCTS.categories)}, {rules('substr(lower(content_text), 1, 500)', en.CATEGORIES, 'Unknown')}) AS category,
+                {rules('lower(content_text)', [(f.upper(), (f,)) for f in en.FORMATS])} AS data_format, {rules('lower(content_text)', [(x.title(), (x,)) for x in vp.PRODUCTS.coverages])} AS coverage,
+                {rules('lower(content_text)', [(x.title(), (x,)) for x in vp.PRODUCTS.algorithms])} AS algorithm, nullif(regexp_extract(content_text, '({vp.PRODUCTS.downloads}\\S+)', 1), '') AS download_url
+            FROM (SELECT *, {last_segment('url')} AS slug FROM pages WHERE page_type = 'open_data' AND coalesce(word_count, 0) >= 20 AND trim(coalesce(content_text, '')) <> ''))""",
         "node_dedup": "SELECT node_id, chunk_id, pos FROM (SELECT node_id, chunk_id, text, min(chunk_id) OVER (PARTITION BY node_id) AS pos FROM text_chunks) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY length(text) DESC NULLS LAST, chunk_id) = 1",
         "edges_valid": f"WITH {texts}, {section}, n AS ({all_nodes}) SELECT source_id, target_id, relation_type FROM ({all_edges}) WHERE source_id IN (SELECT node_id FROM n) AND target_id IN (SELECT node_id FROM n)",
         "edges_dropped": "SELECT id, parent_url AS source_id, url AS target_id FROM crawl_queue WHERE parent_url IS NOT NULL AND (parent_url NOT IN (SELECT url FROM pages) OR url NOT IN (SELECT url FROM pages))",
@@ -278,15 +296,18 @@ def oracle_sql() -> dict[str, str]:
         "vector_search": group_search(48, 12),
         "vector_search_filtered": group_search(24, 6, "AND label % 2 = 0"),
         "vector_topk_each": f"SELECT query_id, vec_id, round(s, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {dot} AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 10",
+        "vector_recall": "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0",
+        **{name: f"SELECT query_id, vec_id, round(s, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, {dot} AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 10" for name in ("vector_index_saved", "vector_index_exact")},
+        **fixtures.ORACLES,
         "keyword_search": f"SELECT chunk_id, CAST(hits AS BIGINT) AS hits FROM (SELECT chunk_id, {words_hit(chunk_said, SEARCHED[0])} AS hits FROM text_chunks) WHERE hits > 0 ORDER BY hits DESC, chunk_id LIMIT 25",
         "keyword_search_each": f"WITH q(query_id, text) AS (VALUES {', '.join(f'({i}, {lit(x)})' for i, x in enumerate(SEARCHED))}), w AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM q), c AS (SELECT DISTINCT chunk_id, unnest(regexp_extract_all({chunk_said}, '{WORD}')) AS word FROM text_chunks), h AS (SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, count(*) AS hits FROM c JOIN w USING (word) GROUP BY ALL) SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) <= {rt.TOP_K}",
         "graph_enrich": f"WITH {results} SELECT chunk_id, CAST(score AS DOUBLE) AS score FROM enriched",
         "rerank": f"WITH {results} SELECT chunk_id, row_number() OVER (ORDER BY score + {boost('document')} DESC, rank) AS rank FROM results",
         "budget_trim": f"SELECT chunk_id, node_id FROM ({budget.format(src='text_chunks', part='PARTITION BY node_id', order='chunk_id')}) WHERE used <= {rt.BUDGET} OR n = 1",
         "retrieve": f"WITH {results}, ranked AS (SELECT chunk_id, text, row_number() OVER (ORDER BY score + {boost('mission')} DESC, rank) AS rank FROM enriched) SELECT chunk_id, rank FROM ({budget.format(src='ranked', part='', order='rank')}) WHERE used <= {rt.BUDGET} OR n = 1",
-        "history_tail": f"SELECT conv_id, turn, role FROM {conversation} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4",
+        "history_tail": f"SELECT conv_id, turn, role FROM {conversation} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20",
         "turn_counts": f"SELECT conv_id, count(*) // 2 AS turns FROM {conversation} GROUP BY 1",
         "context_blocks": f"SELECT node_id, string_agg({entry}, chr(10) || chr(10) ORDER BY chunk_index + 1, {entry}) AS context FROM ({budget.format(src='text_chunks', part='PARTITION BY node_id', order='chunk_id')}) WHERE used <= {rt.BUDGET} OR n = 1 GROUP BY node_id",
         "source_lists": f"SELECT node_id, string_agg(s, chr(10) ORDER BY r, s) AS sources FROM (SELECT node_id, arg_min(s, {{'r': chunk_id, 's': s}}) AS s, min(chunk_id) AS r FROM (SELECT node_id, chunk_id, coalesce(nullif(source_url, ''), nullif(label, '')) AS k, '• ' || CASE WHEN coalesce(source_url, '') <> '' THEN coalesce(nullif(regexp_replace({path('source_url')}, '/+$', ''), ''), source_url) ELSE label END AS s FROM text_chunks) WHERE k IS NOT NULL GROUP BY node_id, k) GROUP BY node_id",
-        "prompts": f"SELECT f.id AS conv_id, least(coalesce(n, 0), 2) + 1 AS n, '<context>' || chr(10) || coalesce(answer, 'No relevant context retrieved.') || chr(10) || '</context>' || chr(10) || chr(10) || 'Question: ' || question AS last FROM faqs f LEFT JOIN (SELECT conv_id, count(*) AS n FROM {conversation} GROUP BY 1) h ON f.id = h.conv_id WHERE question IS NOT NULL",
+        "prompts": f"SELECT f.id AS conv_id, least(coalesce(n, 0), 20) + 1 AS n, '<context>' || chr(10) || coalesce(answer, 'No relevant context retrieved.') || chr(10) || '</context>' || chr(10) || chr(10) || 'Question: ' || question AS last FROM faqs f LEFT JOIN (SELECT conv_id, count(*) AS n FROM {conversation} GROUP BY 1) h ON f.id = h.conv_id WHERE question IS NOT NULL",
     }

@@ -58,9 +58,17 @@ def decoded_tables(tables: DataFrame) -> DataFrame:
 
 
 def node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and links of a node-link JSON file."""
-    data = spark.read.option("multiLine", True).json(path)
-    return data.select(F.inline("nodes")), data.select(F.inline("links"))
+    """(node_id, node_type, label, source_url, attributes, text) and (source_id, target_id, relation_type, attributes) of a node-link document, whichever way it is laid out."""
+    node = "array<struct<id:string,node_type:string,label:string,source_url:string,attributes:map<string,string>,text:string>>"
+    link = "array<struct<source:string,target:string,relation_type:string,attributes:map<string,string>>>"
+    data = spark.read.schema(f"nodes {node}, links {link}").option("multiLine", True).json(path)
+    nodes = data.select(F.inline("nodes")).withColumnRenamed("id", "node_id")
+    return nodes, data.select(F.inline("links")).withColumnsRenamed({"source": "source_id", "target": "target_id"})
+
+
+def by_url(df: DataFrame, url: str, column: str = "url") -> DataFrame:
+    """The rows of one url, by a filter that reaches the scan."""
+    return df.filter(F.col(column) == url)
 
 
 def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -1,13 +1,14 @@
 """Tables to files: Parquet, JSON, delimited text, JSON lines, graph formats, statements.
 
-All write in parallel, a file a task; whoever needs a single file coalesces first.
+Tables and lines are written in parallel, a file a task; graph documents, which must be one
+file to be read elsewhere, are made in parallel and written line by line by one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, graph
@@ -57,14 +58,48 @@ def _data(attributes: Column, size: int | None = None) -> Column:
     return F.array_join(F.transform(F.map_entries(attributes), one), "")
 
 
+def _document(parts: Sequence[DataFrame], path: str) -> None:
+    """Lines in order as one text file: range-partitioned and sorted by part and line in the cluster, then written in one task that holds a line at a time."""
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.unionByName(p)
+    lines.repartitionByRange("part", "n", "value").sortWithinPartitions("part", "n", "value").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _line(spark: SparkSession, part: int, text: str) -> DataFrame:
+    return spark.createDataFrame([(part, 0, text)], "part int, n long, value string")
+
+
 def graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """GraphML elements, one a line; texts cut to 500 characters."""
-    n = nodes.select(F.concat(F.lit('<node id="'), _xml(F.col("node_id")), F.lit('">'), _data(F.col("attributes"), 500), F.lit("</node>")).alias("value"))
-    e = edges.select(F.concat(F.lit('<edge source="'), _xml(F.col("source_id")), F.lit('" target="'), _xml(F.col("target_id")), F.lit('">'), _data(F.col("attributes")), F.lit("</edge>")).alias("value"))
-    n.unionByName(e).write.mode("overwrite").text(path)
+    """A GraphML document: declarations of all keys, nodes, edges; texts cut to 500 characters."""
+    spark = nodes.sparkSession
+
+    def keys(df: DataFrame, of: str, part: int) -> DataFrame:
+        names = df.select(F.explode(F.map_keys("attributes")).alias("k")).distinct()
+        return names.select(F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("n"), F.concat(F.lit('<key id="'), _xml(F.col("k")), F.lit(f'" for="{of}" attr.name="'), _xml(F.col("k")), F.lit('" attr.type="string"/>')).alias("value"))
+
+    n = nodes.select(F.lit(4).alias("part"), F.lit(0).cast("bigint").alias("n"), F.concat(F.lit('<node id="'), _xml(F.col("node_id")), F.lit('">'), _data(F.col("attributes"), 500), F.lit("</node>")).alias("value"))
+    e = edges.select(F.lit(5).alias("part"), F.lit(0).cast("bigint").alias("n"), F.concat(F.lit('<edge source="'), _xml(F.col("source_id")), F.lit('" target="'), _xml(F.col("target_id")), F.lit('">'), _data(F.col("attributes")), F.lit("</edge>")).alias("value"))
+    head = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">'
+    _document([_line(spark, 0, head), keys(nodes, "node", 1), keys(edges, "edge", 2), _line(spark, 3, '<graph edgedefault="directed">'), n, e, _line(spark, 6, "</graph></graphml>")], path)
 
 
 def node_link(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """The two halves of a node-link graph as JSON lines under nodes and links."""
-    nodes.select(F.col("node_id").alias("id"), "node_type", "label", "source_url", "attributes", "text").write.mode("overwrite").json(f"{path}/nodes")
-    edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "relation_type", "attributes").write.mode("overwrite").json(f"{path}/links")
+    """A node-link document: one JSON object with nodes and links, one of them a line."""
+    spark = nodes.sparkSession
+
+    def items(df: DataFrame, part: int) -> DataFrame:
+        # a comma leads each item but the first
+        rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+        least = rows.agg(F.min("json").alias("least"))
+        lead = F.when(F.col("json") == F.col("least"), "").otherwise(",")
+        return rows.dropDuplicates(["json"]).join(F.broadcast(least)).select(F.lit(part).alias("part"), F.when(F.col("json") == F.col("least"), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("n"), F.concat(lead, "json").alias("value"))
+
+    n = items(nodes.select(F.col("node_id").alias("id"), "node_type", "label", "source_url", "attributes", "text"), 1)
+    e = items(edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "relation_type", "attributes"), 3)
+    _document([_line(spark, 0, '{"directed": true, "multigraph": false, "graph": {}, "nodes": ['), n, _line(spark, 2, '], "links": ['), e, _line(spark, 4, "]}")], path)
+
+
+def append(df: DataFrame, path: str, clock: str = "") -> None:
+    """Add rows to a table; clock names a column that takes the time of writing."""
+    (df.withColumn(clock, F.current_timestamp()) if clock else df).write.mode("append").parquet(path)

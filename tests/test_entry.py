@@ -24,7 +24,11 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", NAMES)
+FIXTURES = tuple(n for n in entry.oracle_sql() if n.startswith("fixture_"))
+MORE = ("mission_context", "product_nodes", "section_from_url", "query_classify", "frontier_capped", "page_lookup", "vector_index_saved", "vector_recall", "document_missions", "history_tail")
+
+
+@pytest.mark.parametrize("name", NAMES + MORE + FIXTURES)
 def test_same_rows_as_sql(spark, duck, name):
     a = entry.queries()[name](spark, SF)
     b = duck.execute(entry.oracle_sql()[name])

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skerry.operators import chat, ingest
+from skerry.operators import entities as en
 from skerry.sources import office, readers
 
 from .test_functions import PAGE
@@ -17,7 +18,7 @@ def fetched(spark):
 
 
 def test_page_rows(fetched):
-    rows = {r.url: r for r in ingest.page_rows(fetched, ("m-1",)).collect()}
+    rows = {r.url: r for r in ingest.page_rows(fetched, en.PageRules(slugs=(("m-1", "m-1"),))).collect()}
     r = rows["https://h.example/m-1"]
     assert len(rows) == 2 and (r.title, r.page_type, r.language, r.links_found) == ("Name", "mission", "en", 1)
     assert r.word_count == len(r.content_text.split())
@@ -33,7 +34,7 @@ def test_scoped_links(fetched):
     d = ("h.example",)
     assert {(r.url, r.is_document) for r in ingest.sitemap_links(fetched.filter("depth = 1"), d).collect()} == {("https://h.example/m-1/docs/a.pdf", True)}
     assert [r.url for r in ingest.announced_documents(fetched, d).collect()] == ["https://h.example/new.pdf"]
-    assert [(r.url, r.section_type) for r in ingest.section_links(fetched, d).collect()] == [("https://h.example/m-1-payloads", "payload")]
+    assert [(r.url, r.section_type) for r in ingest.section_links(fetched, d, (("payload", ("payload",)),)).collect()] == [("https://h.example/m-1-payloads", "payload")]
 
 
 def test_permitted(spark):
@@ -64,12 +65,15 @@ def test_office(spark, tmp_path):
     assert rows["c.csv"].extracted_text == "p | q"
 
 
+KINDS = (("faq", ("how to",)),)
+
+
 def test_ask(spark):
     rows = [(f"c{i}", f"n{i}", "FAQ", f"label {i}", f"https://h.example/{i}", i, text, i) for i, text in enumerate(["how to download the wind data", "the ice map", "orbit of the craft"])]
     chunks = spark.createDataFrame(rows, "chunk_id string, node_id string, node_type string, label string, source_url string, chunk_index int, text string, seq long")
     chunks = chat.embedded(chunks.withColumns({c: F.lit(None).cast("string") for c in ("mission_slug", "section_type", "category", "doc_type", "orbit_type")}))
     history, seen = [], []
-    a = chat.ask(chunks, "how to download the wind data", history, lambda m: seen.append(m) or "Do so.")
+    a = chat.ask(chunks, "how to download the wind data", history, lambda m: seen.append(m) or "Do so.", KINDS)
     assert (a.text, a.kind, a.fallback) == ("Do so.", "faq", False) and a.sources[0] == "• /0" and "[1] FAQ: label 0 | Source: https://h.example/0" in seen[0][-1]["content"]
     assert [h["role"] for h in history] == ["user", "assistant"]
     b = chat.ask(chunks, "zzz craft", history, lambda m: "It flies.")

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from skerry.functions import rules as rl
 from skerry.operators import chunking as ck
 from skerry.operators import conversation as cv
 from skerry.operators import dedup as dd
@@ -94,7 +95,7 @@ def test_payload_tables(spark):
     nodes, edges = en.payload_nodes(rows, (("m-1", ("m-1",)),))
     got = {r.node_id: r.attributes for r in nodes.collect()}
     assert set(got) == {"payload:m-1:i1", "payload:m-1:i2", "payload:m-1:i3"}
-    assert got["payload:m-1:i1"] == {"payload_name": "I1", "swath": "10 km", "payload_type": "x"} and got["payload:m-1:i3"]["channels"] == "20"
+    assert got["payload:m-1:i1"] == {"payload_name": "I1", "swath": "10 km", "payload_type": "x", "mission_slug": "m-1"} and got["payload:m-1:i3"]["channels"] == "20"
     assert edges.count() == 3
 
 
@@ -137,7 +138,37 @@ def test_keyword_search(spark):
 
 def test_question_kinds(spark):
     rows = spark.createDataFrame([("How to get data",), ("the sensor of the satellite",), ("",)], "q string")
-    assert [r[0] for r in rows.select(rt.question_kind(F.col("q"))).collect()] == ["faq", "payload", "general"]
+    kinds = (("faq", ("how to",)), ("payload", ("sensor",)), ("mission", ("satellite",)))
+    assert [r[0] for r in rows.select(rt.question_kind(F.col("q"), kinds)).collect()] == ["faq", "payload", "general"]
+
+
+def test_rule_tables_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(rl, "BLOCK", 2)
+    rows = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, None), (4, "delta beta")], "id int, t string")
+    rules = spark.createDataFrame([(3, "alpha", "A"), (1, "beta", "B"), (2, "gamma", "G"), (0, "", "none"), (5, "delta", "D")], "seq int, keyword string, label string")
+    assert {r.id: r.label for r in rl.matched_by_table(rows, "t", rules, "id").collect()} == {1: "B", 2: "G", 3: None, 4: "B"}
+    assert rl.matched_by_table(rows, "t", rules.limit(0), "id").filter("label is null").count() == 4
+
+
+def test_best_scores_with_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    scores, ids = rng.integers(0, 9, (20, 300)).astype(float), rng.permutation(300)
+    want = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :7]
+    assert (vx._top(scores, ids, 7) == want).all()
+
+
+def test_index_is_kept(spark, tmp_path):
+    rows = vx.normalised(spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(200)], "vec_id long, embedding array<float>"))
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.vec_id) for r in vx.build_index(rows).search(asked, 5).collect()}
+    for name, index in (("cells", vx.build_index(rows, 100)), ("exact", vx.build_index(rows))):
+        index.save(str(tmp_path / name))
+        again = vx.load_index(spark, str(tmp_path / name))
+        assert (again.centres is None) == (name == "exact")
+        assert {(r.query_id, r.vec_id) for r in again.search(asked, 5, 10_000).collect()} == exact
+    assert vx.build_cells(rows.limit(0)).search(asked, 5).count() == 0
 
 
 def test_conversation(spark):

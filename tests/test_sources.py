@@ -35,7 +35,16 @@ def test_graph_files(spark, tmp_path):
     assert e.first().attributes == {"w": "1"}
     sinks.node_link(nodes, edges, str(tmp_path / "l"))
     sinks.statements(nodes, edges, str(tmp_path / "s"))
-    assert spark.read.json(str(tmp_path / "l/nodes")).first().id == "a<"
+    import json
+    import xml.etree.ElementTree as ET
+
+    (file,) = (tmp_path / "l").glob("part-*.txt")
+    whole = json.loads(file.read_text())
+    assert [n["id"] for n in whole["nodes"]] == ["a<"] and whole["links"][0]["target"] == "b"
+    (file,) = (tmp_path / "g").glob("part-*.txt")
+    assert [e.tag.split("}")[1] for e in ET.fromstring(file.read_text())] == ["key", "key", "key", "graph"]
+    sinks.node_link(nodes.limit(0), edges.limit(0), str(tmp_path / "none"))
+    assert [x.count() for x in readers.node_link(spark, str(tmp_path / "none"))] == [0, 0]
 
 
 def test_upsert_and_export(spark, tmp_path):
