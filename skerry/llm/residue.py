@@ -86,11 +86,13 @@ def segments(text: str, noise: list[bool | None], title: str | None) -> list[tup
     head, out = bare(title or ""), []
     size, syntax = len(title or ""), bool(_SYNTAX.search(text))
     for line, gone in zip(text.split("\n"), noise):
-        if gone or not line.strip():
+        if not line.strip():
             continue
-        spots = placeholders(line) if syntax else ()
-        for s, e in spots:
+        # a placeholder counts wherever it stands, other text in the body alone
+        for s, e in placeholders(line) if syntax else ():
             out.append((1, 0, f"{line[max(0, s - WINDOW) : s]} {line[s:e]} {line[e : e + WINDOW]}"))
+        if gone:
+            continue
         kind = 2 if head and abs(len(line) - size) < 9 and bare(line) == head else 0
         for part in SENTENCE.split(line) if len(line) > 120 else (line,):
             if part.strip():
@@ -138,7 +140,7 @@ def features(texts: list[str], titles: list[str], kinds: np.ndarray) -> tuple[np
     return row.astype(np.int64), at
 
 
-def fit(row: np.ndarray, at: np.ndarray, labels: np.ndarray, l2: float = 3e-5, rounds: int = 50) -> np.ndarray:
+def fit(row: np.ndarray, at: np.ndarray, labels: np.ndarray, l2: float = 1e-5, rounds: int = 50) -> np.ndarray:
     """Weights of a logistic regression with L2 penalty and balanced classes; the last is the bias. Without both classes all weights are 0."""
     w, g2, n = np.zeros(WEIGHTS + 1), np.full(WEIGHTS + 1, 1e-6), len(labels)
     if not n or not 0 < labels.mean() < 1:
@@ -149,7 +151,7 @@ def fit(row: np.ndarray, at: np.ndarray, labels: np.ndarray, l2: float = 3e-5, r
     for _ in range(rounds):
         z = np.bincount(row, w[at] * value, n) + w[-1]
         d = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
-        g = np.bincount(at, d[row] * value, WEIGHTS + 1) + l2 * w / 100
+        g = np.bincount(at, d[row] * value, WEIGHTS + 1) + l2 * w
         g[-1] = d.sum()
         g2 += g * g
         w -= 0.7 * g / np.sqrt(g2)

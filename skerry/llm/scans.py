@@ -454,7 +454,8 @@ def knowledge(rows: DataFrame) -> DataFrame:
     for r in words.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         frequency[r["bucket"]] = r["n"]
     frequent = words.filter((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^[\p{L}\p{M}'’-]+$")).select("glyphs", F.col("word").alias("original"), F.col("n").alias("often"), "bucket")
-    rare = words.filter(F.col("word").rlike(r"\p{L}")).filter("length(word) > 2 or odd").select("glyphs", F.col("word").alias("term"), "n", "odd", "bit")
+    # words of one or two letters are too short to tell apart by their glyphs, unless a digit or sign stands in them
+    rare = words.filter(F.col("word").rlike(r"\p{L}.*\p{L}.*\p{L}|\p{L}.*[0-9@|!]|[0-9@|!].*\p{L}")).select("glyphs", F.col("word").alias("term"), "n", "odd", "bit")
     links = materialize(rare.join(frequent, "glyphs").filter((F.col("original") != F.col("term")) & (F.col("often") >= LEAST_FAVOUR * F.greatest("n", F.lit(1)))).drop("glyphs"))
     bits = np.zeros(BITS, bool)
     # at most one row a bit
