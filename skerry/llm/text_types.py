@@ -74,6 +74,8 @@ VALUE = re.compile(r"\s*[^:=|\d][^:=|]{0,60}\s*[:=]\s*[-+±<>~]?\d[\d.,:/-]*\s*\
 NUMBER = re.compile(r"[-+]?\d[\d.,]*%?$")
 SYMBOLS = re.compile(r"[^\w\sऀ-ॿ]|_")
 RUN = re.compile(r"([^\w\s.])\1{4,}")
+_GAPS, _WORDY, _LETTERS, _COMMAS, _AFTER = re.compile(r" {3,}"), re.compile(r"\w"), re.compile(r"[^\W\d_]{2}"), re.compile(r"[,;]"), re.compile(r"[,;] ")
+_CLUSTERS, _VOWELS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}|[a-z]\d+[a-z]|\d[a-z]+\d[a-z]*\d|[a-z0-9+/=]{25}"), re.compile(r"[aeiouy]")
 
 
 _PLAIN = bytes(b for b in range(256) if b >= 128 or chr(b).isalnum() or chr(b).isspace())
@@ -99,14 +101,14 @@ def mask(line: str) -> int:
     number = odd_start and not bullet and bool(ENUMERATOR.match(text))
     m |= bullet << 0 | number << 1
     if common < 0.2 or n < 8:
-        cells = text.split("\t") if "\t" in text else text.split(" | ") if " | " in text else text.split("|") if text.count("|") >= 2 else re.split(r" {3,}", text) if "   " in text else ()
-        if len(cells) > 1 and share < 0.3 and sum(len(c) for c in cells) / len(cells) < 40 and all(re.search(r"\w", c) for c in cells if c.strip()):
+        cells = text.split("\t") if "\t" in text else text.split(" | ") if " | " in text else text.split("|") if text.count("|") >= 2 else _GAPS.split(text) if "   " in text else ()
+        if len(cells) > 1 and share < 0.3 and sum(len(c) for c in cells) / len(cells) < 40 and all(map(_WORDY.search, filter(str.strip, cells))):
             m |= 1 << 2
-        if ("," in text or ";" in text) and (commas := re.split(r"[,;]", text))[2:] and not re.search(r"[,;] ", text) and share < 0.3 and sum(len(c) for c in commas) / len(commas) < 30:
+        if ("," in text or ";" in text) and not _AFTER.search(text) and (commas := _COMMAS.split(text))[2:] and share < 0.3 and sum(len(c) for c in commas) / len(commas) < 30:
             m |= 1 << 3
         if not bullet and not number and n <= 12 and (":" in text or "=" in text) and VALUE.match(text):
             m |= 1 << 4
-    if share > 0.3 or share > 0.05 and RUN.search(text) or 8 < size < 200 and common == 0 and not m & 0b1100 and not re.search(r"[^\W\d_]{2}", text):
+    if share > 0.3 or share > 0.05 and RUN.search(text) or 8 < size < 200 and common == 0 and not m & 0b1100 and not _LETTERS.search(text):
         m |= 1 << 5
     if common < 0.25 and CODE.search(text):
         m |= 1 << 6
@@ -130,7 +132,7 @@ def mask(line: str) -> int:
 def _odd(words: list[str]) -> bool:
     """Most long words have no vowels, many consonants in a row, or letters and digits mixed."""
     long = [x for w in words if len(x := w.strip(".,;:!?()\"'")) >= 4]
-    odd = sum(bool(re.search(r"[bcdfghjklmnpqrstvwxz]{5}|[a-z]\d+[a-z]|\d[a-z]+\d[a-z]*\d|[a-z0-9+/=]{25}", w)) or w.isascii() and w.isalpha() and not re.search(r"[aeiouy]", w) for w in long)
+    odd = sum(bool(_CLUSTERS.search(w)) or w.isascii() and w.isalpha() and not _VOWELS.search(w) for w in long)
     return len(long) > 0 and odd > 0.5 * len(long)
 
 
