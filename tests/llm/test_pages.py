@@ -174,8 +174,8 @@ def test_copies_of_a_scan_are_judged_alike(spark):
 
 
 def test_vectors_tell_contexts_apart(monkeypatch):
-    # so small a vocabulary has frequent words alone, which are sampled in large texts
-    monkeypatch.setattr(sc, "SAMPLED", 1.0)
+    # so small a vocabulary has frequent words alone, of which large texts sample fewer
+    monkeypatch.setattr(sc, "SAMPLED", 1e-3)
     # hut and but share a key; the vectors tell which of them goes with the words around
     rng = random.Random(9)
     crops, rooms = [f"crop{i}" for i in range(40)], [f"room{i}" for i in range(40)]
