@@ -4,7 +4,8 @@ Exact search scores every row against each query and keeps the best k in each ta
 assigns every row to its cell; a query looks into the nearest cells only, which a
 join on the cell prunes. Cells hold CELL_ROWS rows on average until there are MAX_CELLS of
 them, which bounds the table of centres that is broadcast; beyond that, cells grow with the
-table and are searched in parallel parts. ``build_index`` searches exactly up to EXACT_ROWS
+table and are searched in parallel parts. How many cells a query looks into is set when the index
+is built, by the recall against exact search of TRIED of its rows. ``build_index`` searches exactly up to EXACT_ROWS
 rows and by cells beyond; ``save`` and ``load`` keep an index as Parquet, rows by cell.
 """
 
@@ -25,8 +26,8 @@ from ..functions.vectors import dot, squared_distance, unit
 
 #: Rows up to which search is exact by default, rows of a cell, most cells, and rows on which cells are learned at most.
 EXACT_ROWS, CELL_ROWS, MAX_CELLS, SAMPLE_ROWS = 10_000, 4_000, 4_096, 100_000
-#: Parts of a cell that are searched apart, and cells that a query looks into.
-PARTS, PROBES = 16, 32
+#: Parts of a cell that are searched apart, least cells that a query looks into, and the recall and number of queries by which more are set.
+PARTS, PROBES, RECALL, TRIED = 16, 32, 0.95, 200
 #: Queries that go to the tasks at once.
 BLOCK_QUERIES = 2_048
 
@@ -110,18 +111,30 @@ def search(vectors: DataFrame, query: list[float], k: int = 6, least: float = 0.
 class CellIndex:
     """Rows with their cell, and the cells' centres; without centres (one cell), search is exact."""
 
-    def __init__(self, rows: DataFrame, centres: DataFrame | None, cells: int):
-        self.rows, self.centres, self.cells = rows, centres, cells
+    def __init__(self, rows: DataFrame, centres: DataFrame | None, cells: int, probes: int = PROBES):
+        self.rows, self.centres, self.cells, self.probes = rows, centres, cells, probes
 
-    def search(self, queries: DataFrame, k: int, probes: int = PROBES, order: str = "vec_id") -> DataFrame:
+    def _near(self, queries: DataFrame) -> DataFrame:
+        """(query_id, _q, cell, n): all cells of each query, the nearest first."""
+        # the centres are at most MAX_CELLS rows
+        near = queries.select("query_id", F.col("embedding").alias("_q")).join(F.broadcast(self.centres.select("cell", "centre")))
+        near = near.withColumn("d", squared_distance(F.col("centre"), F.col("_q")))
+        return near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "cell"))).select("query_id", "_q", "cell", "n")
+
+    def tune(self, k: int = 10, target: float = RECALL, tried: int = TRIED, order: str = "vec_id") -> None:
+        """Set probes to the least number of cells that reach the target recall of the k best, on some of the rows as queries."""
+        asked = self.rows.orderBy(F.xxhash64(order, F.lit(3)), order).limit(tried).select(F.col(order).cast("bigint").alias("query_id"), "embedding")
+        best = top_k_each(self.rows, asked, k, order).select("query_id", order)
+        at = best.join(self.rows.select(order, "cell"), order).join(self._near(asked).select("query_id", "cell", "n"), ["query_id", "cell"])
+        # at most k * tried numbers
+        ranks = sorted(r["n"] for r in at.select("n").collect())
+        self.probes = max(PROBES, ranks[min(len(ranks) - 1, int(target * len(ranks)))] if ranks else PROBES)
+
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, order: str = "vec_id") -> DataFrame:
         """(query_id, order, score, rank): the k best rows of the probed cells of each query."""
         if self.centres is None:
             return top_k_each(self.rows, queries, k, order)
-        # the centres are at most MAX_CELLS rows
-        near = queries.select("query_id", F.col("embedding").alias("_q")).join(F.broadcast(self.centres))
-        near = near.withColumn("d", squared_distance(F.col("centre"), F.col("_q")))
-        nearest = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "cell"))
-        probed = near.withColumn("n", nearest).filter(F.col("n") <= probes).select("query_id", "cell", "_q", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        probed = self._near(queries).filter(F.col("n") <= (probes or self.probes)).select("query_id", "cell", "_q", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
         # a cell is searched in parts, as one may hold a third of the rows
         parts = self.rows.withColumn("part", F.pmod(F.xxhash64(order), F.lit(PARTS)).cast("int"))
         scored = parts.join(probed, ["cell", "part"]).withColumn("score", dot(F.col("embedding"), F.col("_q"))).drop("_q")
@@ -134,7 +147,7 @@ class CellIndex:
         """Write the index into a folder: rows, by cell, and centres."""
         (self.rows if self.centres is not None else self.rows.withColumn("cell", F.lit(0))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
         if self.centres is not None:
-            self.centres.write.mode("overwrite").parquet(f"{path}/centres")
+            self.centres.withColumn("probes", F.lit(self.probes)).write.mode("overwrite").parquet(f"{path}/centres")
 
 
 def load_index(spark: SparkSession, path: str) -> CellIndex:
@@ -144,7 +157,8 @@ def load_index(spark: SparkSession, path: str) -> CellIndex:
         centres = spark.read.parquet(f"{path}/centres")
     except AnalysisException:
         return CellIndex(rows, None, 1)
-    return CellIndex(rows, centres, centres.count())
+    cells, probes = centres.agg(F.count("*"), F.max("probes")).first()
+    return CellIndex(rows, centres, cells, probes)
 
 
 def build_cells(vectors: DataFrame, cells: int | None = None, seed: int = 7, sample: int = SAMPLE_ROWS, order: str = "vec_id") -> CellIndex:
@@ -157,7 +171,9 @@ def build_cells(vectors: DataFrame, cells: int | None = None, seed: int = 7, sam
     model: KMeansModel = KMeans(k=cells, seed=seed, maxIter=15, featuresCol="v").fit(some.select(array_to_vector("embedding").alias("v")))
     rows = model.transform(vectors.withColumn("v", array_to_vector("embedding"))).withColumnRenamed("prediction", "cell").drop("v")
     centres = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
-    return CellIndex(rows, centres, cells)
+    index = CellIndex(rows, centres, cells)
+    index.tune(order=order)
+    return index
 
 
 def build_index(vectors: DataFrame, exact_rows: int = EXACT_ROWS, order: str = "vec_id") -> CellIndex:

@@ -177,11 +177,6 @@ def html_meta(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("id", F.explode(ht.meta_of(F.col("content_html"))).alias("m")).select("id", "m.kind", "m.key", "m.value")
 
 
-@query
-def html_faqs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "pages").select("id", F.explode(ht.faqs_of(F.col("content_html"))).alias("q")).select("id", "q.question", "q.answer", "q.method")
-
-
 # ---- ingestion
 
 
@@ -206,11 +201,6 @@ def ingest_links(s: SparkSession, d: str) -> DataFrame:
     return ig.sitemap_links(_fetched(s, d), DOMAINS).select("source_url", "url", "is_document")
 
 
-@query
-def ingest_sections(s: SparkSession, d: str) -> DataFrame:
-    return ig.section_links(_fetched(s, d), DOMAINS, vp.SECTIONS)
-
-
 @query
 def robots_permitted(s: SparkSession, d: str) -> DataFrame:
     robots = s.createDataFrame(ROBOTS, "host string, agent string, allow boolean, path string")

@@ -234,6 +234,7 @@ def oracle_sql() -> dict[str, str]:
         "url_parts": f"SELECT id, {host('url')} AS host, {path('url')} AS path, {last_segment('url')} AS last FROM crawl_queue",
         "file_types": "SELECT id, CASE " + " ".join(f"WHEN ends_with(lower({path('url')}), '{s}') THEN '{s[1:]}'" for s in ur.DOCUMENT_SUFFIXES) + " " + " ".join(f"WHEN contains(lower(file_type), '{a}') THEN '{b}'" for a, b in (("pdf", "pdf"), ("wordprocessingml", "docx"), ("msword", "doc"), ("spreadsheetml", "xlsx"), ("excel", "xls"), ("csv", "csv"))) + " ELSE 'unknown' END AS kind FROM site_documents",
         "page_links": f"WITH {links} SELECT url, target FROM links",
+        "ingest_links": f"WITH {links} SELECT url AS source_url, target AS url, {is_document('target')} AS is_document FROM links WHERE {allowed('target', DOMAINS)}",
         "page_title": "SELECT id, CASE WHEN t <> '' THEN substr(split_part(t, ' | ', 1), 1, 300) ELSE 'Untitled' END AS title FROM (SELECT id, trim(regexp_replace(regexp_extract(content_html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS t FROM pages WHERE content_html IS NOT NULL)",
         "html_title": "SELECT id, CASE WHEN t <> '' THEN substr(split_part(t, ' | ', 1), 1, 300) ELSE 'Untitled' END AS title FROM (SELECT id, trim(regexp_replace(regexp_extract(content_html, '(?is)<title[^>]*>(.*?)</title>', 1), ' +', ' ', 'g')) AS t FROM pages WHERE content_html IS NOT NULL)",
         "ingest_new_pages": "SELECT id, h AS content_hash FROM (SELECT id, status_code, sha256(coalesce(content_text, '')) AS h FROM pages) WHERE status_code = 200 AND h NOT IN (SELECT sha256(coalesce(content_text, '')) FROM pages WHERE status_code <> 200) QUALIFY row_number() OVER (PARTITION BY h ORDER BY id) = 1",
