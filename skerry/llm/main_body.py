@@ -125,7 +125,7 @@ def dom_lines(page: str) -> tuple[list[tuple[int, str, str]], dict[int, int]]:
     head = False
 
     def flush() -> None:
-        line = " ".join("".join(text).split()).strip("| ") if text else ""
+        line = " ".join("".join(text).split()).strip("| ")
         text.clear()
         if line:
             name, leaf, node = stack[-1] if stack else ("", False, 0)
@@ -133,7 +133,8 @@ def dom_lines(page: str) -> tuple[list[tuple[int, str, str]], dict[int, int]]:
 
     for k, part in enumerate(TAG.split(page)):
         if not k % 2:
-            if part and not head:
+            # a line of the markup between two elements is no text
+            if part and not head and (text or not part.isspace()):
                 text.append(part)
             continue
         act = _actions.get(part)
@@ -145,7 +146,8 @@ def dom_lines(page: str) -> tuple[list[tuple[int, str, str]], dict[int, int]]:
         if kind == IGNORED:
             continue
         if kind == BREAK:
-            flush()
+            if text:
+                flush()
         elif kind == OPEN or kind == CELL:
             if kind == CELL:
                 if text:
@@ -153,7 +155,8 @@ def dom_lines(page: str) -> tuple[list[tuple[int, str, str]], dict[int, int]]:
                 if stack and stack[-1][0] == "td":
                     stack.pop()
             else:
-                flush()
+                if text:
+                    flush()
                 if name in CLOSED_BY:
                     while stack and stack[-1][0] in CLOSED_BY[name]:
                         stack.pop()
@@ -168,7 +171,8 @@ def dom_lines(page: str) -> tuple[list[tuple[int, str, str]], dict[int, int]]:
                 parents[node] = above
                 stack.append((name, False, node))
         elif kind == CLOSE:
-            flush()
+            if text:
+                flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
@@ -177,7 +181,8 @@ def dom_lines(page: str) -> tuple[list[tuple[int, str, str]], dict[int, int]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "td":
                     if i < len(stack) - 1:
-                        flush()
+                        if text:
+                            flush()
                     del stack[i:]
                     break
                 if stack[i][0] == "tr":
@@ -185,7 +190,8 @@ def dom_lines(page: str) -> tuple[list[tuple[int, str, str]], dict[int, int]]:
         else:
             head = kind == HEAD
             text.clear()
-    flush()
+    if text:
+        flush()
     return out, parents
 
 

@@ -57,7 +57,8 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     bodies = main_body.main_bodies(pages)
-    return text_types.findings(pages, text_types.page_types(text_types.measured(bodies)), residue.residue_pages(bodies))
+    measure = text_types.measured(bodies, residue.judged(residue.train(bodies)))
+    return text_types.findings(pages, text_types.page_types(measure), measure.filter("residue").select("page_id"))
 
 
 def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

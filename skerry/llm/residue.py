@@ -241,11 +241,19 @@ def judge(w: np.ndarray, pages: list[tuple[str | None, list | None, str | None]]
     return list(residue | (wrong > 0.5 * body) | (body == 0) & named)
 
 
+def judged(w: np.ndarray):
+    """judge() for the pages of a batch with text, noise and title."""
+
+    def of(batch: pa.RecordBatch) -> list[bool]:
+        return judge(w, list(zip(*(batch.column(c).to_pylist() for c in ("text", "noise", "title")))))
+
+    return of
+
+
 def _judge(w: np.ndarray):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
-            found = judge(w, list(zip(*(batch.column(c).to_pylist() for c in ("text", "noise", "title")))))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id").filter(pa.array(found, pa.bool_()))], names=["page_id"])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").filter(pa.array(judged(w)(batch), pa.bool_()))], names=["page_id"])
 
     return task
 

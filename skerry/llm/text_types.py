@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,14 +138,14 @@ def _odd(words: list[str]) -> bool:
 
 def statistics(text: str) -> dict[str, float]:
     words = text.split()
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
-    n, size = len(words), len("".join(words))
+    lines = [y for x in text.split("\n") if (y := x.strip())]
+    n, size = len(words), sum(map(len, words))
     return {
         "words": n,
         "mean_word_length": size / n if n else 0.0,
         "symbol_ratio": _symbols(text) / size if size else 0.0,
         "line_end_share": sum(x[-1] in ".!?।…\"”:" for x in lines) / len(lines) if lines else 0.0,
-        "common_word_share": sum(map(COMMON.__contains__, text.lower().split())) / n if n else 0.0,
+        "common_word_share": sum(map(COMMON.__contains__, map(str.lower, words))) / n if n else 0.0,
     }
 
 
@@ -192,12 +192,14 @@ def learn(counts: dict[int, int], rounds: int = 40) -> np.ndarray:
 
 
 _STATS = "words bigint, mean_word_length double, symbol_ratio double, line_end_share double, common_word_share double"
+#: A verdict on each page of a batch with text, noise and title.
+Judge = Callable[[pa.RecordBatch], list[bool]]
 _NAMES = [x.split()[0] for x in _STATS.split(", ")]
-MEASURED = f"row long, page_id long, {_STATS}, body bigint, masks array<struct<mask:int,lines:int,chars:int>>"
+MEASURED = f"row long, page_id long, {_STATS}, body bigint, masks array<struct<mask:int,lines:int,chars:int>>, residue boolean"
 _MASK = pa.struct([("mask", pa.int32()), ("lines", pa.int32()), ("chars", pa.int32())])
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], judge: Judge | None) -> Iterator[pa.RecordBatch]:
     row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
     for batch in runs(batches):
         stats, bodies, masks = [], [], []
@@ -217,13 +219,13 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bodies.append(sum(chars.values()))
             masks.append([{"mask": m, "lines": lines[m], "chars": chars[m]} for m in lines])
         columns = [pa.array([s.get(x) for s in stats], pa.int64() if x == "words" else pa.float64()) for x in _NAMES]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(stats)) + row), batch.column("page_id"), *columns, pa.array(bodies, pa.int64()), pa.array(masks, pa.list_(_MASK))], names=["row", "page_id", *_NAMES, "body", "masks"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(stats)) + row), batch.column("page_id"), *columns, pa.array(bodies, pa.int64()), pa.array(masks, pa.list_(_MASK)), pa.array(judge(batch) if judge else [False] * len(stats), pa.bool_())], names=["row", "page_id", *_NAMES, "body", "masks", "residue"])
         row += len(stats)
 
 
-def measured(bodies: DataFrame) -> DataFrame:
-    """The statistics of each page of main_body.main_bodies and the masks of its main body's lines, written once."""
-    return materialize(bodies.select("page_id", "text", "noise").mapInArrow(_measure, MEASURED))
+def measured(bodies: DataFrame, judge: Judge | None = None) -> DataFrame:
+    """The statistics of each page of main_body.main_bodies, the masks of its main body's lines, and in residue what judge, asked in the same pass, says of the pages of a batch; written once."""
+    return materialize(bodies.select("page_id", "title", "text", "noise").mapInArrow(lambda batches: _measure(batches, judge), MEASURED))
 
 
 def page_types(measure: DataFrame) -> DataFrame:
