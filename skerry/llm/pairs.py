@@ -18,7 +18,8 @@ the tasks. A last word that many answers share is one row on the counts' side.
 Short answers are no cases when they lack a full stop (a definition of the
 problem): by the corpus' counts only answers of LONG words or more are cut, and
 torn heads are looked for from SENTENCE words on; marks of a cut and open brackets
-count at any length.
+count at any length. All words and phrases by language are one parameter (Words), so that a
+language is added by a caller.
 
 Cases: a null, blank or filler answer is empty whatever the question; with a
 null or blank question only the rules on the answer apply; copies of a pair are
@@ -32,6 +33,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +58,6 @@ STOPWORDS = {
     "es": "el la los las de del una un y es son en para por con no que qué cuál cómo por qué cuándo dónde se su sus este esta fue más datos al lo cada está tiene según sobre después cerca o".split(),
     "de": "der die das den dem des ein eine einen und ist sind in im zu zur für von mit auf bei nicht wie was warum wann wo wer welche welcher es sie ihr ich wir dieser diese wurde wurden werden daten dateien daher oder aus nach über kann beträgt".split(),
 }
-OWNERS: dict[str, list[str]] = {}
-for _lang, _words in STOPWORDS.items():
-    for _w in set(_words):
-        OWNERS.setdefault(_w, []).append(_lang)
-
 _VERB = r"(?:answer|respond|reply|help|assist|comment|share|discuss|provide|disclose|say|tell|offer|give|support|process|fulfil|complete|handle)"
 REFUSALS = [
     re.compile(x, re.I)
@@ -112,16 +109,16 @@ def plain(text: str | None) -> str:
     return " ".join((text if text.isascii() else _HIDDEN.sub("", text)).split())
 
 
-def _filler(text: str) -> bool:
+def _filler(text: str, known: frozenset[str]) -> bool:
     flat = " ".join(re.sub(r"\W+", " ", text.lower()).split())
     # a filler of marks and letters is at most twice as long as its words
-    if len(flat) > 2 * max(map(len, FILLERS)):
+    if len(flat) > 2 * max(map(len, known), default=0) + 2:
         return False
-    return flat in FILLERS or (words := " ".join(WORD.findall(text.lower()))) in FILLERS or not words
+    return flat in known or (words := " ".join(WORD.findall(text.lower()))) in known or not words
 
 
-def is_empty(answer: str | None) -> bool:
-    return _filler(plain(answer))
+def is_empty(answer: str | None, fillers: frozenset[str] = frozenset(FILLERS)) -> bool:
+    return _filler(plain(answer), fillers)
 
 
 def _strict(text: str) -> list[str]:
@@ -132,32 +129,58 @@ def _strict(text: str) -> list[str]:
 SIGNS = ("not", "n't", "n’t", "cant", "wont", "couldnt", "unable", "refus", "declin", "no ", "any ", " ne ", "imposs", "aucune", "nicht", "keine", "नहीं", "असमर्थ")
 
 
-def script_of(text: str) -> str:
-    """deva, latn or '': the script of most of the letters that are not in names or codes."""
-    deva = 0 if text.isascii() else len(re.findall(r"[ऄ-हक़-ॡ]", text))
-    latin = len(re.findall(r"\b[a-zà-öø-ÿœß]{2,}\b", text)) if deva else 1
-    return "deva" if deva and deva >= 2 * latin else "latn" if not deva and re.search(r"\b[a-zà-öø-ÿœß]{2,}\b", text) else ""
+#: Letters of a language that has a script of its own, and letters that the others of the Latin script don't use.
+SCRIPTS = (("hi", "ऄ-हक़-ॡ"),)
+LETTERS = (("fr", "èêëîïôûùœç"), ("es", "ñ¿¡íóúá"), ("de", "äöüß"))
+
+
+@dataclass(frozen=True, eq=False)
+class Words:
+    """What the rules know of languages. signs: of these, each text that a refusal pattern matches holds one (none: all texts are searched)."""
+
+    fillers: frozenset[str] = frozenset(FILLERS)
+    label: re.Pattern = LABEL
+    label_words: frozenset[str] = frozenset(LABEL_WORDS)
+    stopwords: tuple[tuple[str, tuple[str, ...]], ...] = tuple((k, tuple(v)) for k, v in STOPWORDS.items())
+    scripts: tuple[tuple[str, str], ...] = SCRIPTS
+    letters: tuple[tuple[str, str], ...] = LETTERS
+    refusals: tuple[re.Pattern, ...] = tuple(REFUSALS)
+    signs: tuple[str, ...] = SIGNS
+    courtesy: re.Pattern = COURTESY
+    cut_mark: re.Pattern = CUT_MARK
+    dangling: frozenset[str] = frozenset(DANGLING)
+
+    @functools.cached_property
+    def owners(self) -> dict[str, list[str]]:
+        """The languages of each stopword."""
+        out: dict[str, list[str]] = {}
+        for lang, words in self.stopwords:
+            for w in set(words):
+                out.setdefault(w, []).append(lang)
+        return out
+
+    @functools.cached_property
+    def script_letters(self) -> list[tuple[str, re.Pattern]]:
+        return [(lang, re.compile(f"[{letters}]")) for lang, letters in self.scripts]
 
 
-_LETTERS = (("fr", frozenset("èêëîïôûùœç")), ("es", frozenset("ñ¿¡íóúá")), ("de", frozenset("äöüß")))
+DEFAULT = Words()
 
 
-def language_of(text: str) -> str:
-    """hi, en, fr, es, de, or '' if the text doesn't show it."""
+def language_of(text: str, words: Words = DEFAULT) -> str:
+    """The language whose script or stopwords a text shows, '' if it shows none clearly."""
     if not text.isascii():
-        if script_of(text) == "deva":
-            return "hi"
-        if re.search(r"[ऄ-ह]", text):
-            return ""
-    low = text.lower()
+        for lang, letters in words.script_letters:
+            if own := len(letters.findall(text)):
+                # names and codes may be in Latin letters; a mixture shows no language
+                return lang if own >= 2 * len(re.findall(r"\b[a-zà-öø-ÿœß]{2,}\b", text)) else ""
+    low, owners = text.lower(), words.owners
     score: Counter[str] = Counter()
-    for w in re.findall(r"[a-zà-öø-ÿœß]+", low):
-        owners = OWNERS.get(w)
-        if owners:
-            for lang in owners:
-                score[lang] += 1 / len(owners)
+    for w in re.findall(r"[^\W\d_]+", low):
+        for lang in owners.get(w, ()):
+            score[lang] += 1 / len(owners[w])
     if not low.isascii():
-        for lang, letters in _LETTERS:
+        for lang, letters in words.letters:
             score[lang] += 0.7 * min(3, sum(c in letters for c in low))
     best = score.most_common(2)
     if not best or best[0][1] < 1.3 or len(best) > 1 and best[0][1] < 1.5 * best[1][1]:
@@ -168,10 +191,10 @@ def language_of(text: str) -> str:
 class Question:
     """What the rules need of a question."""
 
-    def __init__(self, text: str | None):
+    def __init__(self, text: str | None, words: Words = DEFAULT):
         self.text = plain(text)
         self.strict = _strict(self.text)
-        self.language = language_of(self.text)
+        self.language = language_of(self.text, words)
 
 
 #: The questions looked at last, as many pairs ask the same.
@@ -181,11 +204,12 @@ question_of = functools.lru_cache(maxsize=20_000)(Question)
 class Pair:
     """A question and its answer, with the rules on them."""
 
-    def __init__(self, question: str | None, answer: str | None):
-        self.question = question_of(question)
+    def __init__(self, question: str | None, answer: str | None, words: Words = DEFAULT):
+        self.words = words
+        self.question = question_of(question, words)
         self.answer = plain(answer)
         #: The answer without a label and a repetition of the question before it.
-        self.body = LABEL.sub("", self.answer)
+        self.body = words.label.sub("", self.answer)
         q = self.question.text
         if q and (bare := self.body.lstrip("\"“«„"))[: 2 * len(q)].lower().startswith(q.lower()):
             self.body = bare[len(q) :].lstrip(" \"”»“.:–-")
@@ -200,7 +224,7 @@ class Pair:
         while i < len(a):
             if a[i : i + len(q)] == q:
                 found, i = found + 1, i + len(q)
-            elif a[i] not in LABEL_WORDS:
+            elif a[i] not in self.words.label_words:
                 return False
             else:
                 i += 1
@@ -208,17 +232,17 @@ class Pair:
 
     def is_refusal(self) -> bool:
         low = self.body.lower()
-        if not any(s in low for s in SIGNS):
+        if self.words.signs and not any(s in low for s in self.words.signs):
             return False
         said = [s for s in re.split(r"(?<=[.!?।])\s+", self.body) if s.strip()]
-        refused = [any(r.search(s) for r in REFUSALS) for s in said]
+        refused = [any(r.search(s) for r in self.words.refusals) for s in said]
         if not any(refused):
             return False
-        return sum(len(WORD.findall(s)) for s, r in zip(said, refused) if not r and not COURTESY.search(s)) <= 5
+        return sum(len(WORD.findall(s)) for s, r in zip(said, refused) if not r and not self.words.courtesy.search(s)) <= 5
 
     def is_other_language(self) -> bool:
         q = self.question.language
-        return bool(q and (a := language_of(self.body)) and q != a)
+        return bool(q and (a := language_of(self.body, self.words)) and q != a)
 
     def open_end(self, copied: bool) -> tuple[bool, bool]:
         """(certainly cut, the corpus' counts must decide)."""
@@ -226,7 +250,7 @@ class Pair:
         if not text or copied:
             return False, False
         last = text.rstrip("\"'”»)]")
-        cut = CUT_MARK.search(text)
+        cut = self.words.cut_mark.search(text)
         if not cut and last and last[-1] in END_MARK and not any(text.count(o) > text.count(c) for c, o in PAIRS.items()):
             return False, False
         words = WORD.findall(text)
@@ -240,13 +264,13 @@ class Pair:
             return True, False
         if last[-1] in END_MARK or re.search(r"\S*(?:://|www\.|@)\S*$", text):
             return False, False
-        if words[-1].lower() in DANGLING and len(words) > 1:
+        if words[-1].lower() in self.words.dangling and len(words) > 1:
             return True, False
         return False, len(words) >= SENTENCE
 
     def defects(self) -> tuple[list[str], bool]:
         """(defects that the pair itself shows, its end must be judged by the corpus)."""
-        if _filler(self.answer):
+        if _filler(self.answer, self.words.fillers):
             return ["empty_answer"], False
         copied = self.is_copy()
         cut, asked = self.open_end(copied)
@@ -257,17 +281,17 @@ class Pair:
 # ---- words and ends of sentences, by hash
 
 
-def _signs(texts: pa.Array) -> pa.Array:
+def _signs(texts: pa.Array, cut: str) -> pa.Array:
     """texts in lower case, without a mark of a cut, without what closes a quote or bracket, runs of digits as one digit, full stops in one form."""
     texts = pc.utf8_lower(texts)
-    for old, new in ((CUT_MARK.pattern, ""), (r"\.\.\.+|…", " "), (r"[\"'“”„«»‘’()\[\]]", ""), (r"[।。]", "."), (r"[0-9]+", "0"), (r"[–—·•→]", " ")):
+    for old, new in ((cut, ""), (r"\.\.\.+|…", " "), (r"[\"'“”„«»‘’()\[\]]", ""), (r"[।。]", "."), (r"[0-9]+", "0"), (r"[–—·•→]", " ")):
         texts = pc.replace_substring_regex(texts, old, new)
     return texts
 
 
-def words_and_ends(texts: pa.Array) -> dict[str, np.ndarray]:
+def words_and_ends(texts: pa.Array, cut: str = CUT_MARK.pattern) -> dict[str, np.ndarray]:
     """Of each word: row, word (its hash), start and end in the bytes, pair (hash with the word before it in its sentence, else 0), ends (1: it ends a sentence, 0: it goes on, -1: an open end)."""
-    data, bounds = raw(_signs(texts))
+    data, bounds = raw(_signs(texts, cut))
     inside = WORD_BYTES[data]
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     first = np.zeros(len(data) + 1, bool)
@@ -297,53 +321,59 @@ def _summed(keys: list[np.ndarray], values: list[list[np.ndarray]]) -> tuple[np.
     return every, [np.bincount(at, np.concatenate(v), len(every)).astype(np.int64) for v in zip(*values)]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, ends, goes_on, heads): counts of words and pairs by hash, and the heads of longer words."""
-    for batch in batches:
-        for part in slices(batch, "answer"):
-            w = words_and_ends(strings(part.column("answer")))
-            if not len(w["word"]):
-                continue
-            ends, on = (w["ends"] == 1).astype(float), (w["ends"] == 0).astype(float)
-            two = w["pair"] != 0
-            # each different word's heads, of all lengths in bytes
-            _, once = np.unique(w["word"], return_index=True)
-            s, n = w["start"][once], w["end"][once] - w["start"][once] - 1
-            begin = np.repeat(s, n)
-            size = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
-            heads = np.unique(mixed(w["rolling"].of(begin, begin + size) + size.astype(np.uint64)))
-            none, one = np.zeros(len(heads)), np.ones(len(heads))
-            zero = np.zeros(len(ends))
-            keys, (e, o, h) = _summed([w["word"], w["pair"][two], heads], [[ends, on, zero], [ends[two], on[two], zero[two]], [none, none, one]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(e), pa.array(o), pa.array(np.minimum(h, 1))], names=["gram", "ends", "goes_on", "heads"])
+def _count(cut: str):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(gram, ends, goes_on, heads): counts of words and pairs by hash, and the heads of longer words."""
+        for batch in batches:
+            for part in slices(batch, "answer"):
+                w = words_and_ends(strings(part.column("answer")), cut)
+                if not len(w["word"]):
+                    continue
+                ends, on = (w["ends"] == 1).astype(float), (w["ends"] == 0).astype(float)
+                two = w["pair"] != 0
+                # each different word's heads, of all lengths in bytes
+                _, once = np.unique(w["word"], return_index=True)
+                s, n = w["start"][once], w["end"][once] - w["start"][once] - 1
+                begin = np.repeat(s, n)
+                size = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+                heads = np.unique(mixed(w["rolling"].of(begin, begin + size) + size.astype(np.uint64)))
+                none, one = np.zeros(len(heads)), np.ones(len(heads))
+                zero = np.zeros(len(ends))
+                keys, (e, o, h) = _summed([w["word"], w["pair"][two], heads], [[ends, on, zero], [ends[two], on[two], zero[two]], [none, none, one]])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(e), pa.array(o), pa.array(np.minimum(h, 1))], names=["gram", "ends", "goes_on", "heads"])
+
+    return task
 
 
 JUDGED = "row long, faq_id long, defects array<string>, last_word long, last_pair long, words int"
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    # a number for each row, as ids may be null or repeated; the result is written before it is used
-    at = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-    for batch in runs(batches, 2_000):
-        defects, open_, bodies = [], [], []
-        for k, (q, a) in enumerate(zip(batch.column("question").to_pylist(), batch.column("answer").to_pylist())):
-            pair = Pair(q, a)
-            got, asked = pair.defects()
-            defects.append(got)
-            if asked:
-                open_.append(k)
-                bodies.append(pair.body)
-        n = batch.num_rows
-        word, two, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32)
-        if bodies:
-            w = words_and_ends(pa.array(bodies, pa.large_string()))
-            of = np.array(open_)[w["row"]]
-            final = np.append(of[1:] != of[:-1], True) if len(of) else np.empty(0, bool)
-            word[of[final]], two[of[final]] = w["word"][final].view(np.int64), w["pair"][final].view(np.int64)
-            sizes = np.bincount(of, minlength=n).astype(np.int32)
-        nothing = word == 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + at), batch.column("faq_id"), pa.array(defects, pa.list_(pa.string())), pa.array(word, mask=nothing), pa.array(two, mask=nothing), pa.array(sizes)], names=["row", "faq_id", "defects", "last_word", "last_pair", "words"])
-        at += n
+def _judge(words: Words):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a number for each row, as ids may be null or repeated; the result is written before it is used
+        at = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        for batch in runs(batches, 2_000):
+            defects, open_, bodies = [], [], []
+            for k, (q, a) in enumerate(zip(batch.column("question").to_pylist(), batch.column("answer").to_pylist())):
+                pair = Pair(q, a, words)
+                got, asked = pair.defects()
+                defects.append(got)
+                if asked:
+                    open_.append(k)
+                    bodies.append(pair.body)
+            n = batch.num_rows
+            word, two, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32)
+            if bodies:
+                w = words_and_ends(pa.array(bodies, pa.large_string()), words.cut_mark.pattern)
+                of = np.array(open_)[w["row"]]
+                final = np.append(of[1:] != of[:-1], True) if len(of) else np.empty(0, bool)
+                word[of[final]], two[of[final]] = w["word"][final].view(np.int64), w["pair"][final].view(np.int64)
+                sizes = np.bincount(of, minlength=n).astype(np.int32)
+            nothing = word == 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + at), batch.column("faq_id"), pa.array(defects, pa.list_(pa.string())), pa.array(word, mask=nothing), pa.array(two, mask=nothing), pa.array(sizes)], names=["row", "faq_id", "defects", "last_word", "last_pair", "words"])
+            at += n
+
+    return task
 
 
 def hardly_ends(ends: Column, on: Column) -> Column:
@@ -354,11 +384,11 @@ def hardly_ends(ends: Column, on: Column) -> Column:
     return (on >= 3) & ((ends == 0) | (low < END_SHARE))
 
 
-def defects(faqs: DataFrame) -> DataFrame:
+def defects(faqs: DataFrame, words: Words = DEFAULT) -> DataFrame:
     """(faq_id, defects): each defective pair with every defect that its rules found, in the order of DEFECTS."""
     rows = faqs.select(F.col("id").cast("bigint").alias("faq_id"), "question", "answer")
-    judged = materialize(rows.mapInArrow(_judge, JUDGED))
-    counts = rows.select("answer").filter("answer <> ''").distinct().mapInArrow(_count, "gram long, ends long, goes_on long, heads long").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("on"), F.max("heads").alias("heads"))
+    judged = materialize(rows.mapInArrow(_judge(words), JUDGED))
+    counts = rows.select("answer").filter("answer <> ''").distinct().mapInArrow(_count(words.cut_mark.pattern), "gram long, ends long, goes_on long, heads long").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("on"), F.max("heads").alias("heads"))
     asked = judged.filter("last_word is not null")
     looked = asked.select("row", "words", F.posexplode(F.array("last_word", "last_pair")).alias("n", "gram"))
 

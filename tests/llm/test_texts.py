@@ -209,6 +209,20 @@ def test_one_end_does_not_clear_a_cut_answer(spark):
     assert [(r.faq_id, r.defect) for r in pr.main_defects(pr.defects(faqs)).collect()] == [(200, "truncated_answer")]
 
 
+def test_a_language_can_be_added(spark):
+    more = pr.Words(
+        stopwords=(*pr.DEFAULT.stopwords, ("it", tuple("il lo gli della dello dei che non per con una sono dal alla ogni viene mappa dopo".split()))),
+        scripts=(*pr.DEFAULT.scripts, ("el", "α-ωά-ώ")),
+        refusals=(*pr.DEFAULT.refusals, re.compile(r"\bnon posso\b[^.!?]{0,25}\brispondere", re.I)),
+        signs=(*pr.DEFAULT.signs, "non "),
+        fillers=pr.DEFAULT.fillers | {"vuoto"},
+    )
+    rows = [(1, "Ogni quanto viene rinnovata la mappa?", "Non posso rispondere a questa domanda."), (2, "How often is the map renewed?", "La mappa viene rinnovata ogni settimana dopo il passaggio della missione."), (3, "Ogni quanto?", "(vuoto)"), (4, "How often is the map renewed?", "Ο χάρτης ανανεώνεται κάθε εβδομάδα μετά το πέρασμα.")]
+    faqs = spark.createDataFrame(rows, "id long, question string, answer string")
+    assert {r.faq_id: r.defect for r in pr.main_defects(pr.defects(faqs, more)).collect()} == {1: "refusal", 2: "wrong_language", 3: "empty_answer", 4: "wrong_language"}
+    assert pr.language_of("नक्शा हर घंटे बदलता है") == "hi" and pr.language_of("The map is renewed with the data") == "en" and pr.language_of("SELKARA-1") == ""
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=80), st.text(max_size=200))
 def test_pair_rules_never_fail(q, a):
@@ -220,7 +234,7 @@ def test_pair_rules_never_fail(q, a):
 def test_words_and_ends(texts):
     w = pr.words_and_ends(pa.array(texts, pa.large_string()))
     want = []
-    for i, t in enumerate(pr._signs(pa.array(texts, pa.large_string())).to_pylist()):
+    for i, t in enumerate(pr._signs(pa.array(texts, pa.large_string()), pr.CUT_MARK.pattern).to_pylist()):
         found = list(re.finditer(r"[a-z0-9]+|[^\x00-\x7f]+", t)) and list(re.finditer(r"(?:[a-z0-9]|[^\x00-\x7f])+", t))
         want += [(i, m[0], 1 if re.match(r"[.!?](\s|$)", t[m.end() :]) else -1 if m is found[-1] else 0) for m in found]
     assert [(r, e) for r, e in zip(w["row"], w["ends"])] == [(r, e) for r, _, e in want]
