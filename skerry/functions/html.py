@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Iterator
 from html import unescape
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -368,10 +369,31 @@ text_of = _arrow(page_text, "string")
 tables_of = _arrow(tables, "array<struct<table_index:int,headers:array<string>,rows:array<array<string>>,caption:string>>")
 faqs_of = _arrow(faq_pairs, "array<struct<question:string,answer:string,method:string>>")
 meta_of = _arrow(meta, "array<struct<kind:string,key:string,value:string>>")
-anchors_of = _arrow(anchors, "array<string>")
 sidebar_of = _arrow(sidebar_links, "array<struct<title:string,href:string>>")
 
 
+_ORIGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*")
+
+
+def joined(href: str, base: str) -> str | None:
+    """href resolved against base; plain paths from the root, the most by far, without parsing either."""
+    if href[:1] == "/" and href[1:2] != "/" and "/." not in href and (m := _ORIGIN.match(base)):
+        return m[0] + href
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None
+
+
+def anchors_of(page: Column, url: Column) -> Column:
+    """array<struct<href,full>>: the links of each page, resolved against its url."""
+
+    def run(pages: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([[{"href": h, "full": joined(h, b or "")} for h in dict.fromkeys(anchors(p))] if p else None for p, b in zip(pages, bases)], dtype=object)
+
+    return F.pandas_udf(run, "array<struct<href:string,full:string>>")(page, url)
+
+
 def sidebar_by_slug(page: Column, slug: Column) -> Column:
     """sidebar_links with the slug of each page, by which links are chosen where there is no menu block."""
 

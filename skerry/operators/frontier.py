@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as ht
 from ..functions import urls
-from ..session import checkpoint_root
+from ..session import ready_to_checkpoint
 from . import dedup
 
 
@@ -35,8 +35,8 @@ def updated(queue: DataFrame, changes: DataFrame) -> DataFrame:
 
 def links(pages: DataFrame, html: str = "content_html", url: str = "url") -> DataFrame:
     """(url, href, target): the distinct links of each page, resolved against it, in normal form; links to nowhere and places in the page aside."""
-    rows = pages.select(url, F.explode(ht.anchors_of(F.col(html))).alias("href")).filter("not startswith(href, '#')")
-    return rows.withColumn("target", urls.resolved_any(F.col("href"), F.col(url))).filter("target is not null").dropDuplicates([url, "target"])
+    rows = pages.select(url, F.explode(ht.anchors_of(F.col(html), F.col(url))).alias("a")).filter("not startswith(a.href, '#')")
+    return rows.select(url, F.col("a.href").alias("href"), urls.normalised(F.col("a.full")).alias("target")).filter("target is not null").dropDuplicates([url, "target"])
 
 
 def discovered(pages: DataFrame, queue: DataFrame, domains: tuple[str, ...]) -> DataFrame:
@@ -53,9 +53,7 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, most: int = 4) -> DataFram
     edges: src, dst. seeds: node. One join and one anti-join a level; the visited set is
     written to the checkpoint folder at each level, which cuts the lineage.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+    ready_to_checkpoint(edges.sparkSession)
     edges = edges.select("src", "dst").distinct()
     visited = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     for level in range(most):

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ready_to_checkpoint
 from . import dedup
 
 
@@ -22,9 +23,10 @@ def boolean_text(c: Column) -> Column:
 
 
 def build(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes once each, edges between known nodes, one an ordered pair."""
-    kept = dedup.longest_first(nodes, "node_id", "text", "seq")
-    return kept, merged(valid_edges(edges, kept))
+    """Nodes once each, edges between known nodes, one an ordered pair. Both are written once, as each is used more than once."""
+    ready_to_checkpoint(nodes.sparkSession)
+    kept = dedup.longest_first(nodes, "node_id", "text", "seq").checkpoint()
+    return kept, merged(valid_edges(edges, kept).checkpoint())
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

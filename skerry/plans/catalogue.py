@@ -25,6 +25,7 @@ from ..operators import retrieval as rt
 from ..operators import vector_index as vx
 from ..session import checkpoint_root
 from ..sources.readers import by_url, table
+from ..streaming import crawl as st
 from . import fixtures
 from . import portal as vp
 from .oracle import oracle_sql
@@ -305,6 +306,12 @@ def url_first_seen(s: SparkSession, d: str) -> DataFrame:
     return dd.first_write(rows, ["normal"], "id").select("normal", "id", "depth")
 
 
+@query
+def stream_first_seen(s: SparkSession, d: str) -> DataFrame:
+    stream = st.queue_stream(s, f"{d}/crawl_queue.parque*", table(s, d, "crawl_queue").schema)
+    return st.drained(st.first_seen(stream, "3650 days").select("target"), f"{checkpoint_root(s)}/skerry-stream-{uuid.uuid4().hex}")
+
+
 @query
 def url_last_write(s: SparkSession, d: str) -> DataFrame:
     return dd.last_write(table(s, d, "pages"), ["url"], "id").select("url", "id", "content_hash")

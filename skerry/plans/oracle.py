@@ -256,6 +256,7 @@ def oracle_sql() -> dict[str, str]:
         "crawl_actions": f"SELECT id, CASE WHEN contains(lower(url), '/internal/') THEN 'skip_login' WHEN {has('url', ('/quicktabs/ajax/', '/ajax/'))} THEN 'skip_ajax' WHEN depth > 4 THEN 'skip_depth' WHEN {is_document('url')} THEN 'document' ELSE 'page' END AS action FROM crawl_queue",
         "queue_update": "WITH c AS (SELECT url, CASE WHEN status_code = 200 THEN 'visited' ELSE 'failed' END AS s, 'status ' || status_code AS e FROM pages), one AS (SELECT url, arg_max({'s': s, 'e': e}, {'s': s, 'k': e IS NOT NULL, 'e': coalesce(e, '')}) AS x FROM c GROUP BY url) SELECT id, coalesce(one.x.s, status) AS status, coalesce(substr(one.x.e, 1, 500), error_msg) AS error_msg FROM crawl_queue LEFT JOIN one USING (url)",
         "url_first_seen": f"SELECT normal, id, depth FROM (SELECT *, {normal('url')} AS normal FROM crawl_queue) WHERE normal IS NOT NULL QUALIFY row_number() OVER (PARTITION BY normal ORDER BY id) = 1",
+        "stream_first_seen": f"SELECT DISTINCT {normal('url')} AS target FROM crawl_queue WHERE {normal('url')} IS NOT NULL",
         "url_last_write": "SELECT url, id, content_hash FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY id DESC) = 1",
         "discovered_urls": f"WITH {links}, found AS (SELECT DISTINCT l.url AS parent_url, target AS url FROM links l WHERE {allowed('target', DOMAINS)} AND target NOT IN (SELECT url FROM crawl_queue WHERE url IS NOT NULL)), deep AS (SELECT url AS parent_url, min(coalesce(depth, 0)) AS d FROM pages GROUP BY 1) SELECT url, arg_min(parent_url, {{'d': d, 'p': parent_url}}) AS parent_url, min(d) + 1 AS depth FROM found JOIN deep USING (parent_url) GROUP BY url",
         "unseen_urls": "SELECT DISTINCT url FROM pages ANTI JOIN crawl_queue USING (url)",

@@ -17,3 +17,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = tempfile.mkdtemp(prefix="skerry-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
+
+
+def ready_to_checkpoint(spark: SparkSession) -> None:
+    """Name the shared folder for checkpoints, where the session has none yet."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))

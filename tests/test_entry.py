@@ -25,7 +25,7 @@ def duck():
 
 
 FIXTURES = tuple(n for n in entry.oracle_sql() if n.startswith("fixture_"))
-MORE = ("mission_context", "product_nodes", "section_from_url", "query_classify", "frontier_capped", "page_lookup", "vector_index_saved", "vector_recall", "document_missions", "history_tail")
+MORE = ("mission_context", "product_nodes", "section_from_url", "query_classify", "frontier_capped", "page_lookup", "vector_index_saved", "vector_recall", "document_missions", "history_tail", "stream_first_seen", "page_links", "graph_build")
 
 
 @pytest.mark.parametrize("name", NAMES + MORE + FIXTURES)
