@@ -136,6 +136,26 @@ def test_keyword_search(spark):
     assert [(r.chunk_id, r.hits) for r in rt.keyword_search(rows, "Sea ice MAP of").collect()] == [("c1", 3), ("c2", 3)]
 
 
+def test_keyword_search_each_keeps_chunks_apart(spark, tmp_path, monkeypatch):
+    # a file has a size, queries from Python have none: by these Spark would broadcast the chunks' words
+    rows = [(f"c{i:02}", " ".join(w for j, w in enumerate(("sea", "ice", "map", "Éire", "wave")) if (i * 7 + 3) >> j & 1), "wave" if i % 5 == 0 else None, i) for i in range(40)]
+    spark.createDataFrame(rows, "chunk_id string, text string, label string, seq int").write.parquet(str(tmp_path / "chunks"))
+    asked = [(0, "sea ICE sea of"), (1, "éire Wave map"), (2, "absent"), (3, "of"), (4, None)]
+    want = {}
+    for q, text in asked:
+        said = {w for w in (text or "").lower().split() if len(w) > 2}
+        hits = [(-len(said & {*f"{t} {label or ''}".lower().split()}), n, c) for c, t, label, n in rows]
+        want |= {(q, c): (-h, r) for r, (h, n, c) in enumerate(sorted(x for x in hits if x[0])[:4], 1)}
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    for joined in ("BuildRight", "SortMergeJoin"):
+        found = rt.keyword_search_each(spark.read.parquet(str(tmp_path / "chunks")), queries, 4)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert joined in plan and "BuildLeft" not in plan
+        assert {(r.query_id, r.chunk_id): (r.hits, r["rank"]) for r in found.collect()} == want
+        monkeypatch.setattr(rt, "WORD_BYTES", 0)
+    assert rt.keyword_search_each(spark.read.parquet(str(tmp_path / "chunks")), queries.limit(0)).count() == 0
+
+
 def test_question_kinds(spark):
     rows = spark.createDataFrame([("How to get data",), ("the sensor of the satellite",), ("",)], "q string")
     kinds = (("faq", ("how to",)), ("payload", ("sensor",)), ("mission", ("satellite",)))
